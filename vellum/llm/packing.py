@@ -13,9 +13,11 @@ empty result; rows that share a doc_id (or have none) are packed each for itself
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,48 +33,67 @@ RANKED_TOGETHER = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_marks() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordIds:
-    """Token ids of texts by way of their words, for tokenizers that never join across white space.
+    """Token ids of texts by way of their words, for byte-level tokenizers that lower case, compose
+    (NFC) and never join across white space.
 
     Words are encoded once and then looked up. A word's last marks are encoded apart where that
-    cannot alter the ids. `limit` bounds the words held.
+    cannot alter the ids, and a word of plain letters goes to the vocabulary's merges at once, as
+    the steps before them would leave it as it is. `limit` bounds the words held.
     """
 
     #: ASCII marks that the tokenizer always splits from a letter or digit before them.
     TAIL = ".,!?;:#$%&*"
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model, self.marks = self.tokenizer.model, _byte_marks()
+        self.tails: dict[str, list[int]] = {"": []}
         self.reset()
 
     def reset(self) -> None:
-        self.parts: dict[str, list[int]] = {"": []}
         self.place: dict[str, int] = {}
-        self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.pool, self.used = np.zeros(4096, np.uint32), 0
+        self.starts = self.lengths = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
     def encode(self, part: str) -> list[int]:
-        if (ids := self.parts.get(part)) is None:
-            ids = self.parts[part] = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return ids
-
-    def add(self, word: str) -> None:
+        if not part.isalpha():
+            return self.tokenizer.encode(part, add_special_tokens=False).ids
+        if not part.isascii():
+            # letters below U+0250 but U+0130 have one lower-case letter each, in any library
+            if max(part) >= "\u0250" or "\u0130" in part or not unicodedata.is_normalized("NFC", part):
+                return self.tokenizer.encode(part, add_special_tokens=False).ids
+            part = part.lower().encode().decode("latin-1").translate(self.marks)
+        return [x.id for x in self.model.tokenize(part.lower() if part.isascii() else part)]
+
+    def word(self, word: str) -> list[int]:
         base = word.rstrip(self.TAIL)
-        if base and base[-1].isalnum() and "<|" not in word:
-            ids = self.encode(base) + self.encode(word[len(base) :])
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        at, end = len(self.place), self.used + len(ids)
-        if at >= len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        if end > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-        self.place[word], self.starts[at], self.lengths[at] = at, self.used, len(ids)
-        self.pool[self.used : end] = ids
-        self.used = end
+        if not base or not base.lower()[-1].isalnum() or "<|" in word:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        tail = word[len(base) :]
+        if (ids := self.tails.get(tail)) is None:
+            ids = self.tokenizer.encode(tail, add_special_tokens=False).ids
+            if len(self.tails) < 10_000:
+                self.tails[tail] = ids
+        return self.encode(base) + ids
+
+    def learn(self, words: list[str]) -> None:
+        found = [self.word(w) for w in words]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(lengths) - lengths)
+        self.lengths = np.append(self.lengths, lengths)
+        self.pool = np.append(self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (with the end of the last)."""
@@ -84,9 +105,8 @@ class WordIds:
         known = coded.dictionary.to_pylist()
         if len(self.place) > self.limit:
             self.reset()
-        for word in known:
-            if word not in self.place:
-                self.add(word)
+        if fresh := [w for w in known if w not in self.place]:
+            self.learn(fresh)
         place = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
         place = place[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int64)
         sizes, ends = self.lengths[place], np.zeros(len(place) + 1, np.int64)
