@@ -10,14 +10,15 @@ about 1e-7. Pairs that pass are compared on their full sets, so no link is false
 Work follows the documents, not the pairs:
 
 1. Equal sets are one class, of which the smallest doc_id takes part.
-2. In the first round each document is compared with one leader: the smallest member of any of its
-   buckets that passes the sketch test. Verified links make trees.
-3. Only buckets that still hold several components are looked at again. In these, pairs between
-   components are emitted, tested by sketch and verified. A bucket with over PAIRED members is
-   first split by each of its members' bands; what is left after DEPTH splits agrees in at least
-   4 (DEPTH + 1) samples.
-
-Comparisons are grouped by the lesser document and salted, so a leader that a third of all rows
+2. Each bucket's leader is its densest member, the one with the most neighbours in all its buckets:
+   of many edits of one text that is the text itself. Documents are compared with the leaders of
+   their buckets, first with the one that looks most alike, then, where components still differ,
+   with the others. A component thus costs a comparison or a few for each member.
+3. Only buckets that still hold several components are looked at again. Their sketches are compared
+   in blocks, members outside the leader's component against all members, and pairs of different
+   components that pass are verified. A bucket of one component costs nothing, however large.
+
+Comparisons are grouped by the leader and salted, so a leader that a third of all rows
 follow is copied once for GROUP followers and each group stays bounded.
 
 Defined cases: null, empty or blank texts have an empty set (n_shingles 0), are linked with nothing
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, slices
@@ -42,7 +43,8 @@ SAMPLES, BANDS, SKETCH_BITS = 128, 32, 512
 THRESHOLD = 75
 #: Ones in the XOR of two sketches at an estimated similarity of 0.55, five deviations below 0.75.
 MOST_ONES = 93
-PAIRED, DEPTH, GROUP = 48, 3, 500
+#: Members of a bucket that one block of sketch comparisons holds; followers of a leader in one group.
+HELD, GROUP = 1000, 500
 _random = np.random.default_rng(20240102)
 _FACTOR = _random.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MASK = _random.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -109,15 +111,18 @@ def ones(a: Column, b: Column) -> Column:
 
 
 def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (high, low) whose sizes and sketches allow the threshold."""
+    """The pairs (high, low) whose sizes and sketches allow the threshold, with the sketches' difference."""
     for end in ("high", "low"):
         pairs = pairs.join(signed.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_sketch")), end)
     fits = 100 * F.least("high_n", "low_n") >= THRESHOLD * F.greatest("high_n", "low_n")
-    return pairs.filter(fits & (ones(F.col("high_sketch"), F.col("low_sketch")) <= MOST_ONES)).select("high", "low")
+    return pairs.filter(fits).withColumn("ones", ones(F.col("high_sketch"), F.col("low_sketch"))).filter(F.col("ones") <= MOST_ONES).select("high", "low", "ones")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (high, low) whose full sets reach the threshold; `texts` has doc_id and text."""
+    """The pairs (high, low) whose full sets reach the threshold; `texts` has doc_id and text.
+
+    Pairs are grouped by `low`, so that is best the one that many pairs share.
+    """
     salts = pairs.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     dealt = pairs.join(salts, "low").select("low", F.pmod(F.xxhash64("high"), F.col("salts")).cast("int").alias("salt"), F.col("high").alias("doc_id"))
     leaders = salts.select("low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("low").alias("doc_id"))
@@ -151,16 +156,56 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= THRESHOLD * (len(small) + len(large) - both)
 
 
-def open_buckets(rows: DataFrame) -> DataFrame:
-    """The rows (key, doc_id, root) of buckets that hold several components, and the buckets' sizes."""
-    several = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("members")).filter("least < most").select("key", "members")
-    return rows.join(several, "key")
+def rooted(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """`rows` with the component of `column` as `<column>_root`."""
+    own = roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
+    return rows.join(own, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
 
 
-def pairs_between(rows: DataFrame) -> DataFrame:
-    """Pairs (high, low) of one bucket's documents in different components."""
-    a, b = rows.select("key", F.col("doc_id").alias("low"), F.col("root").alias("low_root")), rows.select("key", F.col("doc_id").alias("high"), F.col("root").alias("high_root"))
-    return a.join(b, "key").filter("low < high and low_root != high_root").select("high", "low").distinct()
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (high, low) whose ends lie in different components."""
+    return rooted(rooted(pairs, roots, "high"), roots, "low").filter("high_root != low_root").select("high", "low")
+
+
+def open_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (high, low) of different components that share a bucket and whose sketches allow the threshold."""
+    rows = rooted(shared, roots, "doc_id").withColumnRenamed("doc_id_root", "root")
+    several = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.when(F.col("doc_id") == F.col("leader"), F.col("root"))).alias("main"), F.count(F.lit(1)).alias("members"))
+    several = several.filter("least < most").select("key", "main", F.ceil(F.col("members") / HELD).cast("int").alias("blocks"))
+    rows = rows.select("key", "doc_id", "root").join(several, "key").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    kept = ["key", "block", "probe", "doc_id", "root", "n_shingles", "sketch"]
+    bases = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False)).select(*kept)
+    probes = rows.filter("root != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True)).select(*kept)
+    grouped = bases.unionByName(probes).repartition("key", "block").sortWithinPartitions("key", "block", "probe")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            found = []
+            keys, blocks, probe = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "probe"))
+            values = [batch.column(c).to_numpy() for c in ("doc_id", "root", "n_shingles")]
+            sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), U64).reshape(-1, SKETCH_BITS // 64)
+            change = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]) | (probe[1:] != probe[:-1])) + 1
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), len(keys)], strict=True):
+                if a == b:
+                    continue
+                if group != (keys[a], blocks[a]):
+                    group, held = (keys[a], blocks[a]), []
+                part = [*(v[a:b] for v in values), sketches[a:b]]
+                if not probe[a]:
+                    held.append(part)
+                    continue
+                base = [np.concatenate(x) for x in zip(*held, strict=True)]
+                for c in range(0, b - a, 128):
+                    some = [x[c : c + 128] for x in part]
+                    fits = 100 * np.minimum(some[2][:, None], base[2]) >= THRESHOLD * np.maximum(some[2][:, None], base[2])
+                    i, j = np.nonzero(fits & (some[1][:, None] != base[1]))
+                    near = np.bitwise_count(some[3][i] ^ base[3][j]).sum(axis=1) <= MOST_ONES
+                    found.append(np.stack([some[0][i[near]], base[0][j[near]]]))
+            pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=0)), pa.array(pairs.min(axis=0))], ["high", "low"])
+
+    return grouped.mapInArrow(compare, "high long, low long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -170,33 +215,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = cut_lineage(known.groupBy(*identity).agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("first")).select(*identity, "first.*"))
     buckets = classes.select("doc_id", F.explode("bands").alias("key"))
-    shared = cut_lineage(buckets.join(buckets.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("most")).filter("low < most").select("key", "low"), "key"))
-    suspects = shared.select("doc_id").distinct()
-    texts = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(suspects, "doc_id", "left_semi"))
-
-    first = alike(shared.filter("doc_id > low").select(F.col("doc_id").alias("high"), "low").distinct(), classes)
-    links = cut_lineage(verified(first.groupBy("high").agg(F.min("low").alias("low")), texts))
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = cut_lineage(buckets.join(sizes, "key"))
+    density = shared.groupBy("doc_id").agg(F.sum("members").alias("density"))
+    leaders = shared.join(density, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("density", -F.col("doc_id"))).alias("leader"))
+    shared = cut_lineage(shared.select("doc_id", "key").join(leaders, "key"))
+    texts = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+    led = cut_lineage(alike(shared.filter("doc_id != leader").select(F.col("doc_id").alias("high"), F.col("leader").alias("low")).distinct(), classes))
     # rows that share a doc_id are one document, though their texts may lie in several classes
     own = known.select("doc_id", *identity).join(classes.select(*identity, F.col("doc_id").alias("low")), identity)
-    apart = own.withColumn("least", F.min("low").over(Window.partitionBy("doc_id"))).filter("least < low").select(F.col("low").alias("a"), F.col("least").alias("b"))
-    roots = components(links.unionByName(apart))
-
-    rooted = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    still = cut_lineage(open_buckets(rooted))
-    pairs = None
-    for depth in range(DEPTH + 1):
-        if still.isEmpty():
-            break
-        small = still if depth == DEPTH else still.filter(F.col("members") <= PAIRED)
-        pairs = pairs_between(small) if pairs is None else pairs.unionByName(pairs_between(small))
-        large = still.filter(F.col("members") > PAIRED).join(classes.select("doc_id", "bands"), "doc_id")
-        finer = large.select("doc_id", "root", "key", F.explode("bands").alias("band")).filter("key != band").select("doc_id", "root", F.xxhash64("key", "band").alias("key"))
-        still = cut_lineage(open_buckets(finer))
-    if pairs is not None:
-        late = cut_lineage(verified(alike(pairs.distinct(), classes), texts))
+    split = own.groupBy("doc_id").agg(F.min("low").alias("a"), F.max("low").alias("b")).filter("a < b").select("doc_id", "a")
+    links = own.join(split, "doc_id").filter("low != a").select("a", F.col("low").alias("b"))
+    first = led.groupBy("high").agg(F.min_by("low", F.struct("ones", "low")).alias("low"))
+    links = cut_lineage(links.unionByName(verified(first, texts)))
+    roots = components(links)
+    for more in (lambda: led.select("high", "low"), lambda: open_pairs(shared, roots, classes)):
+        late = cut_lineage(apart(more(), roots))
+        if late.isEmpty():
+            continue
+        late = cut_lineage(verified(late, texts))
         if not late.isEmpty():
-            merged = links.unionByName(apart).unionByName(late)
-            roots = components(merged)
+            links = links.unionByName(late)
+            roots = components(links)
     out = signed.join(classes.select(*identity, F.col("doc_id").alias("low")), identity, "left")
     out = out.join(roots.withColumnRenamed("node", "low"), "low", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "low", "doc_id"))
