@@ -1 +1 @@
-"""Part of the document engine; see README.md."""
+"""Column functions and predicates; no Python runs on the executors for any of them."""
