@@ -33,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
             found = trees
         else:
             onward = trees.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            found = found.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")).unionByName(trees)
+            found = cut_lineage(found.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")).unionByName(trees))
         ends = left
         for end in ("high", "low"):
             ends = ends.join(trees.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
