@@ -76,7 +76,7 @@ def sample_ranges(sizes: np.ndarray, chunk_at: np.ndarray, runs: np.ndarray) ->
         return np.zeros(0, np.int64)
     if not len(runs) or not len(chunk_at) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any():
         raise BadMedia("samples without well-formed chunks")
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], max(len(chunk_at), int(runs[-1, 0])) + 1)))[: len(chunk_at)]
+    per_chunk = np.repeat(runs[:, 1], np.diff(np.minimum(np.append(runs[:, 0], len(chunk_at) + 1), len(chunk_at) + 1)))
     if per_chunk.sum() < len(sizes):
         raise BadMedia("fewer places in chunks than samples")
     ends = np.cumsum(per_chunk)

@@ -1,11 +1,11 @@
 """Near-duplicate documents: MinHash bands propose, odd sketches estimate, full sets decide.
 
-A document's set is its distinct five-word shingles. 128 MinHash samples make 32 bands of 4, and
-are folded into a parity bitmap (odd sketch) of 512 bits: two sketches' XOR has about
-256 (1 - exp(-m / 256)) ones when m of the samples' 2 x 128 elements differ, so the count of ones
+A document's set is its distinct five-word shingles. 512 MinHash samples are folded into a parity
+bitmap (odd sketch) of 4096 bits, and the first 128 make 32 bands of 4. Two sketches' XOR has about
+2048 (1 - exp(-m / 2048)) ones when m of the samples' 2 x 512 elements differ, so the count of ones
 tells high similarities apart without the texts. A pair at the threshold shares no band with
-probability (1 - 0.75^4)^32 = 5e-6, and fails the sketch test, at five standard deviations, with
-about 1e-7. Pairs that pass are compared on their full sets, so no link is false.
+probability (1 - 0.75^4)^32 = 5e-6, and fails the sketch test, at four and a half standard
+deviations, with about 4e-6. Pairs that pass are compared on their full sets, so no link is false.
 
 Work follows the documents, not the pairs:
 
@@ -39,16 +39,16 @@ from .common import cut_lineage, slices
 from .components import components
 from .shingles import U64, mix, shingle_sets
 
-SAMPLES, BANDS, SKETCH_BITS = 128, 32, 512
+SAMPLES, BANDED, BANDS, SKETCH_BITS = 512, 128, 32, 4096
 THRESHOLD = 75
-#: Ones in the XOR of two sketches at an estimated similarity of 0.55, five deviations below 0.75.
-MOST_ONES = 93
+#: Ones in the XOR of two sketches at an estimated similarity of 0.655.
+MOST_ONES = 324
 #: Members of a bucket that one block of sketch comparisons holds; followers of a leader in one group.
 HELD, GROUP = 1000, 500
 _random = np.random.default_rng(20240102)
 _FACTOR = _random.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MASK = _random.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
-SIGNED = "doc_id long, n_shingles long, set_sum long, set_mix long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, n_shingles long, set_sum long, set_mix long, bands array<long>, sketch array<long>"
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -63,13 +63,12 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 def bands_and_sketches(minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of minima its band keys and its odd sketch."""
-    rows = SAMPLES // BANDS
     wide = minima.astype(U64) + (np.arange(SAMPLES, dtype=U64) << U64(32))
     mixed = mix(wide)
-    keys = mix(mixed.reshape(len(minima), BANDS, rows).sum(axis=2, dtype=U64))
-    places = (mixed >> U64(64 - 9)).astype(np.int64) + np.arange(len(minima))[:, None] * SKETCH_BITS
+    keys = mix(mixed[:, :BANDED].reshape(len(minima), BANDS, BANDED // BANDS).sum(axis=2, dtype=U64))
+    places = (mixed % U64(SKETCH_BITS)).astype(np.int64) + np.arange(len(minima))[:, None] * SKETCH_BITS
     parity = np.bincount(places.ravel(), minlength=len(minima) * SKETCH_BITS).astype(np.uint8) & 1
-    return keys.view(np.int64), np.packbits(parity.reshape(len(minima), SKETCH_BITS), axis=1)
+    return keys.view(np.int64), np.packbits(parity.reshape(len(minima), SKETCH_BITS), axis=1).view(np.int64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -93,7 +92,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     pa.array(np.array(sums, U64).view(np.int64)),
                     pa.array(np.array(mixes, U64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel())),
-                    pa.array([x.tobytes() for x in sketches], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(sketches.ravel())),
                 ],
                 ["doc_id", "n_shingles", "set_sum", "set_mix", "bands", "sketch"],
             )
@@ -103,11 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def ones(a: Column, b: Column) -> Column:
     """Population count of the XOR of two sketches."""
-    total = F.lit(0)
-    for word in range(1, SKETCH_BITS // 8, 8):
-        x, y = (F.conv(F.hex(F.substring(s, word, 8)), 16, -10).cast("long") for s in (a, b))
-        total = total + F.bit_count(x.bitwiseXOR(y))
-    return total
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
 def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -184,7 +179,7 @@ def open_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataF
             found = []
             keys, blocks, probe = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "probe"))
             values = [batch.column(c).to_numpy() for c in ("doc_id", "root", "n_shingles")]
-            sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), U64).reshape(-1, SKETCH_BITS // 64)
+            sketches = batch.column("sketch").flatten().to_numpy().view(U64).reshape(-1, SKETCH_BITS // 64)
             change = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]) | (probe[1:] != probe[:-1])) + 1
             for a, b in zip([0, *change.tolist()], [*change.tolist(), len(keys)], strict=True):
                 if a == b:

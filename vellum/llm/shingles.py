@@ -77,9 +77,10 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text: `width` words, or all words of a shorter text."""
     words, at = word_hashes(texts)
     factors = powers(_STEP, width)
-    grams = np.zeros(max(0, len(words) - width + 1), U64)
+    n = max(0, len(words) - width + 1)
+    grams = np.zeros(n, U64)
     for j in range(width):
-        grams += words[j : len(words) - width + 1 + j] * factors[j]
+        grams += words[j : j + n] * factors[j]
     grams = mix(grams)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= width:
