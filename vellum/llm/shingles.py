@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+#: Bytes of text that are hashed at once.
+BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256)
@@ -65,12 +67,16 @@ def word_hashes(texts: pa.Array, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray,
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray = _SPACE) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, U64)
     values = np.where(gaps, U64(0), _VALUE)
-    spans = np.diff(np.append(starts, len(data)))
-    within = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
-    return mix(np.add.reduceat(values[data[starts[0] :]] * powers(_BASE, int(spans.max()))[within], starts - starts[0]))
+    out, ends, at = np.zeros(len(starts), U64), np.append(starts[1:], len(data)), 0
+    while at < len(starts):  # in blocks, as each byte takes several words of memory
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK)))
+        begins, spans = starts[at:to], (ends - starts)[at:to]
+        within = np.arange(begins[0], ends[to - 1]) - np.repeat(begins, spans)
+        raw = values[data[begins[0] : ends[to - 1]]] * powers(_BASE, int(spans.max()))[within]
+        out[at:to] = np.add.reduceat(raw, begins - begins[0])
+        at = to
+    return mix(out)
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:

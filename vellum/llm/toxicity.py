@@ -62,10 +62,7 @@ def read_words(texts: pa.Array) -> Words:
     ids = (distinct >> U64(50)).astype(np.int64) % WORDS
     if not len(distinct):
         return Words(ids, np.zeros(0, np.int64), np.zeros(0, np.int64), codes, at)
-    ends = np.append(starts[1:], len(data))
-    spans = ends - starts
-    gap_before = np.append(0, np.cumsum(_GAPS[data]))
-    sizes = (spans - (gap_before[ends] - gap_before[starts]))[first]  # gaps follow a word up to the next
+    sizes = np.add.reduceat(~_GAPS[data], starts, dtype=np.int64)[first]  # only gaps follow a word up to the next
     begins = np.cumsum(sizes + 2) - (sizes + 2)
     letters = np.zeros(int((sizes + 2).sum()) + 3, U64)
     inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
