@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut_lineage, slices
 
 LEAST, LONG, CUT_IN = 6, 24, 12
 UNITS = "doc_id long, start long, end long, digest binary"
@@ -74,7 +74,7 @@ def units(docs: DataFrame) -> DataFrame:
 
 def repeated_units(docs: DataFrame) -> DataFrame:
     """Every occurrence that goes: doc_id, start, end, and where the one that stays is."""
-    every = units(docs)
+    every = cut_lineage(units(docs))  # read twice below: texts are cut into units once, and not while rows are sorted
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     recurring = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).filter("n > 1").select("digest", "kept.*")
     first = recurring.select("digest", F.col("doc_id").alias("kept_doc_id"), F.col("start").alias("kept_start"))
