@@ -14,9 +14,11 @@ Work follows the documents, not the pairs:
    of many edits of one text that is the text itself. Documents are compared with the leaders of
    their buckets, first with the one that looks most alike, then, where components still differ,
    with the others. A component thus costs a comparison or a few for each member.
-3. Only buckets that still hold several components are looked at again. Their sketches are compared
-   in blocks, members outside the leader's component against all members, and pairs of different
-   components that pass are verified. A bucket of one component costs nothing, however large.
+3. Only buckets that still hold several components are looked at again, in blocks, members outside
+   the leader's component against all members. A block holds its members' sketches and full sets:
+   pairs of different components whose sketches pass are confirmed there at once, and only links
+   that join components leave it, so pairs that fall just short cost no rows, joins or shuffles.
+   A bucket of one component costs nothing, however large.
 
 Comparisons are grouped by the leader and salted, so a leader that a third of all rows
 follow is copied once for GROUP followers and each group stays bounded.
@@ -43,8 +45,8 @@ SAMPLES, BANDED, BANDS, SKETCH_BITS = 512, 128, 32, 4096
 THRESHOLD = 75
 #: Ones in the XOR of two sketches at an estimated similarity of 0.655.
 MOST_ONES = 324
-#: Members of a bucket that one block of sketch comparisons holds; followers of a leader in one group.
-HELD, GROUP = 1000, 500
+#: Members of a bucket that one block of comparisons holds, and elements of their sets; followers of a leader in one group.
+HELD, HELD_ELEMENTS, GROUP = 1000, 2_000_000, 500
 _random = np.random.default_rng(20240102)
 _FACTOR = _random.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MASK = _random.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -162,45 +164,103 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted(rooted(pairs, roots, "high"), roots, "low").filter("high_root != low_root").select("high", "low")
 
 
-def open_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (high, low) of different components that share a bucket and whose sketches allow the threshold."""
+def set_rows(texts: DataFrame) -> DataFrame:
+    """doc_id and shingle set of every row of `texts`."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch, "text")):
+            sets = list(shingle_sets(part.column("text")))
+            offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            values = pa.array(np.concatenate([*sets, np.zeros(0, U64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "set"])
+
+    return texts.select("doc_id", "text").mapInArrow(each, "doc_id long, set array<long>")
+
+
+class Block:
+    """Some members of a bucket: others are compared with all of them at once, first by sketch, then by set."""
+
+    def __init__(self, parts: list[list]) -> None:
+        self.ids, self.roots, self.sizes, self.sketches, self.bands, sets = (sum(x, []) if isinstance(x[0], list) else np.concatenate(x) for x in zip(*parts, strict=True))
+        self.lengths = np.array([len(s) for s in sets])
+        values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.lengths)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners = values[order], owners[order]
+        self.parents: dict[int, int] = {}
+
+    def find(self, root: int) -> int:
+        while (up := self.parents.get(root, root)) != root:
+            self.parents[root] = root = self.parents.get(up, up)
+        return root
+
+    def shared(self, some: np.ndarray) -> np.ndarray:
+        """How many elements of a set each member has."""
+        begin, end = np.searchsorted(self.values, some), np.searchsorted(self.values, some, "right")
+        counts = end - begin
+        places = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        return np.bincount(self.owners[places], minlength=len(self.ids))
+
+    def links(self, key: int, part: list) -> Iterator[tuple[int, int]]:
+        """Links to members that join components; a pair is compared only in the first of its buckets."""
+        for c in range(0, len(part[0]), 128):
+            ids, roots, sizes, sketches, bands, sets = (x[c : c + 128] for x in part)
+            fits = 100 * np.minimum(sizes[:, None], self.sizes) >= THRESHOLD * np.maximum(sizes[:, None], self.sizes)
+            i, j = np.nonzero(fits & (roots[:, None] != self.roots))
+            same = bands[i] == self.bands[j]
+            first = same.any(axis=1) & (bands[i, same.argmax(axis=1)] == key)
+            i, j = i[first], j[first]
+            near = np.bitwise_count(sketches[i] ^ self.sketches[j]).sum(axis=1) <= MOST_ONES
+            i, j = i[near], j[near]
+            for at in np.unique(i).tolist():
+                others = [x for x in j[i == at].tolist() if self.find(int(self.roots[x])) != self.find(int(roots[at]))]
+                both = self.shared(sets[at]) if others else None
+                for x in others:
+                    if 100 * both[x] >= THRESHOLD * (len(sets[at]) + self.lengths[x] - both[x]):
+                        one, other = self.find(int(roots[at])), self.find(int(self.roots[x]))
+                        if one != other:
+                            self.parents[max(one, other)] = min(one, other)
+                            yield int(ids[at]), int(self.ids[x])
+
+
+def open_links(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that join what different components have in common buckets."""
     rows = rooted(shared, roots, "doc_id").withColumnRenamed("doc_id_root", "root")
-    several = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.when(F.col("doc_id") == F.col("leader"), F.col("root"))).alias("main"), F.count(F.lit(1)).alias("members"))
-    several = several.filter("least < most").select("key", "main", F.ceil(F.col("members") / HELD).cast("int").alias("blocks"))
-    rows = rows.select("key", "doc_id", "root").join(several, "key").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    kept = ["key", "block", "probe", "doc_id", "root", "n_shingles", "sketch"]
+    main = F.max(F.when(F.col("doc_id") == F.col("leader"), F.col("root"))).alias("main")
+    several = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), main, F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("elements"))
+    blocks = F.greatest(F.ceil(F.col("members") / HELD), F.ceil(F.col("elements") / HELD_ELEMENTS)).cast("int")
+    rows = cut_lineage(rows.select("key", "doc_id", "root").join(several.filter("least < most").select("key", "main", blocks.alias("blocks")), "key"))
+    sets = cut_lineage(set_rows(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")))
+    kept = ["key", "block", "probe", "doc_id", "root"]
     bases = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False)).select(*kept)
     probes = rows.filter("root != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True)).select(*kept)
-    grouped = bases.unionByName(probes).repartition("key", "block").sortWithinPartitions("key", "block", "probe")
+    whole = bases.unionByName(probes).join(classes.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id").join(sets, "doc_id")
+    grouped = whole.repartition("key", "block").sortWithinPartitions("key", "block", "probe")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
+        group, held, block = None, [], None
         for batch in batches:
-            found = []
+            found: list[tuple[int, int]] = []
             keys, blocks, probe = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "probe"))
             values = [batch.column(c).to_numpy() for c in ("doc_id", "root", "n_shingles")]
-            sketches = batch.column("sketch").flatten().to_numpy().view(U64).reshape(-1, SKETCH_BITS // 64)
+            values.append(batch.column("sketch").flatten().to_numpy().view(U64).reshape(-1, SKETCH_BITS // 64))
+            values.append(batch.column("bands").flatten().to_numpy().reshape(-1, BANDS))
+            ends = np.cumsum(batch.column("set").value_lengths().to_numpy())
+            values.append(np.split(batch.column("set").flatten().to_numpy().view(U64), ends[:-1]))
             change = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]) | (probe[1:] != probe[:-1])) + 1
             for a, b in zip([0, *change.tolist()], [*change.tolist(), len(keys)], strict=True):
                 if a == b:
                     continue
                 if group != (keys[a], blocks[a]):
-                    group, held = (keys[a], blocks[a]), []
-                part = [*(v[a:b] for v in values), sketches[a:b]]
+                    group, held, block = (keys[a], blocks[a]), [], None
+                part = [v[a:b] for v in values]
                 if not probe[a]:
                     held.append(part)
-                    continue
-                base = [np.concatenate(x) for x in zip(*held, strict=True)]
-                for c in range(0, b - a, 128):
-                    some = [x[c : c + 128] for x in part]
-                    fits = 100 * np.minimum(some[2][:, None], base[2]) >= THRESHOLD * np.maximum(some[2][:, None], base[2])
-                    i, j = np.nonzero(fits & (some[1][:, None] != base[1]))
-                    near = np.bitwise_count(some[3][i] ^ base[3][j]).sum(axis=1) <= MOST_ONES
-                    found.append(np.stack([some[0][i[near]], base[0][j[near]]]))
-            pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=0)), pa.array(pairs.min(axis=0))], ["high", "low"])
+                elif held:  # a block may hold no member
+                    block = block or Block(held)
+                    found.extend(block.links(keys[a], part))
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.int64()) for n in (0, 1)], ["a", "b"])
 
-    return grouped.mapInArrow(compare, "high long, low long").distinct()
+    return grouped.select("key", "block", "probe", "doc_id", "root", "n_shingles", "sketch", "bands", "set").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -209,12 +269,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     identity = ["n_shingles", "set_sum", "set_mix"]
     known = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = cut_lineage(known.groupBy(*identity).agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("first")).select(*identity, "first.*"))
-    buckets = classes.select("doc_id", F.explode("bands").alias("key"))
+    buckets = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = cut_lineage(buckets.join(sizes, "key"))
     density = shared.groupBy("doc_id").agg(F.sum("members").alias("density"))
     leaders = shared.join(density, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("density", -F.col("doc_id"))).alias("leader"))
-    shared = cut_lineage(shared.select("doc_id", "key").join(leaders, "key"))
+    shared = cut_lineage(shared.select("doc_id", "n_shingles", "key").join(leaders, "key"))
     texts = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
 
     led = cut_lineage(alike(shared.filter("doc_id != leader").select(F.col("doc_id").alias("high"), F.col("leader").alias("low")).distinct(), classes))
@@ -225,11 +285,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = led.groupBy("high").agg(F.min_by("low", F.struct("ones", "low")).alias("low"))
     links = cut_lineage(links.unionByName(verified(first, texts)))
     roots = components(links)
-    for more in (lambda: led.select("high", "low"), lambda: open_pairs(shared, roots, classes)):
-        late = cut_lineage(apart(more(), roots))
-        if late.isEmpty():
-            continue
-        late = cut_lineage(verified(late, texts))
+    others = cut_lineage(apart(led.select("high", "low"), roots))
+    for more in (lambda: verified(others, texts), lambda: open_links(shared, roots, classes, texts)):
+        late = cut_lineage(more())
         if not late.isEmpty():
             links = links.unionByName(late)
             roots = components(links)
