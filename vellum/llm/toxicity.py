@@ -17,6 +17,7 @@ the share of toxic ones among them (0 without any).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -268,8 +269,8 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, most_chars: int = MOST_CHARS) -> list[tuple[str, int]]:
-    """The bounded sample that is learned from: (text, toxic), in order of doc_id."""
+def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, most_chars: int = MOST_CHARS) -> DataFrame:
+    """The bounded sample that is learned from: doc_id, text, toxic."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     known = known.filter(remainder(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, most_chars))
@@ -277,15 +278,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
     some = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n) for t, n in ((1, positives), (0, negatives))]
     found = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").dropDuplicates(["doc_id"])
     rows = [found.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, positives), (0, negatives))]
-    return [(r.text, r.toxic) for r in sorted(rows[0].unionByName(rows[1]).collect(), key=lambda r: r.doc_id)]
+    return rows[0].unionByName(rows[1]).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Network | float:
-    rows = training_rows(docs, labels, **bounds)
-    toxic = [t for _, t in rows]
-    if len(set(toxic)) < 2:
-        return float(sum(toxic) / max(1, len(toxic)))
-    return train([x for x, _ in rows], toxic)
+    """Learns in one task from the bounded sample, in order of doc_id; only the weights reach the driver."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)), key=lambda r: r[0])
+        toxic = [r[2] for r in rows]
+        model = train([r[1] for r in rows], toxic) if len(set(toxic)) > 1 else sum(toxic) / max(1, len(toxic))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    learned = training_rows(docs, labels, **bounds).coalesce(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(learned.model) if learned else 0.0
 
 
 def score_texts(model: Network | float, texts: pa.Array) -> np.ndarray:
