@@ -406,6 +406,13 @@ def test_passages_inside_lines_are_found(spark):
     assert {r.doc_id for r in got} == {2} and {r.kept_doc_id for r in got} == {1} and sum(r.end - r.start for r in got) > 70
 
 
+def test_short_lines_go(spark):
+    line = "en la des et. enmentai. réle eauoué."
+    texts = [(1, f"ietzte.\n{line}\nown words here"), (2, f"{line}\n  Ietzte.\nmore"), (3, "这是一行没有空格的文字。"), (4, "这是一行没有空格的文字。")]
+    got = {r.doc_id: r.text for r in repeats.drop_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: texts[0][1], 2: "\n  \nmore", 3: texts[2][1], 4: ""}
+
+
 def test_surrogates(docs, rows, empty, odd):
     kept = surrogates.replace_personal(docs)
     assert kept.columns == ["doc_id", "source", "length", "key", "low", "text", "entities"]

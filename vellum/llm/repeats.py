@@ -1,9 +1,10 @@
 """Substring dedup by hashing lines and the sentences in them.
 
-A unit is a line or, in longer lines, a sentence; a sentence of more than LONG words is cut after
-words whose own hash says so, which lets a passage be found at any place in it. Units of at least
-LEAST words are normalised (lower case, single spaces), and equal digests anywhere in the corpus
-are one group: the occurrence in the first document, at its first offset, stays; all others go.
+A unit is a whole line of any length or a sentence in it; a sentence of more than LONG words is cut
+after words whose own hash says so, which lets a passage be found at any place in it. Parts of a line
+count from LEAST words on. Units are normalised (lower case, single spaces), and equal digests
+anywhere in the corpus are one group: the occurrence in the first document, at its first offset,
+stays; all others go. In scripts without spaces every character is a word.
 
 Digests are counted with partial sums, and only rows of digests that recur are joined to their
 first occurrence, so a line that a third of all documents hold is never gathered in one task.
@@ -30,31 +31,52 @@ from .common import cut_lineage, slices
 
 LEAST, LONG, CUT_IN = 6, 24, 12
 UNITS = "doc_id long, start long, end long, digest binary"
-_WORD = re.compile(r"\S+")
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"  # scripts without spaces
+_WORD = re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
+_FULL = re.compile("[^。！？]*[。！？]*")
+
+
+def _sentences(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether it is a whole line) of lines and, in lines of several, of their sentences."""
+    at = 0
+    for line in text.split("\n"):
+        cut = line
+        for mark in ".!?":
+            cut = cut.replace(f"{mark} ", f"{mark}\n")  # as long as before, so places stay
+        found, inner = [], at
+        for sentence in cut.split("\n"):
+            parts = _FULL.findall(sentence) if any(m in sentence for m in "。！？") else (sentence,)
+            for part in parts:
+                if body := part.strip():
+                    a = inner + len(part) - len(part.lstrip())
+                    found.append((a, a + len(body), False))
+                inner += len(part)
+            inner += 1
+        if found:
+            yield found[0][0], found[-1][1], True
+            if len(found) > 1:
+                yield from found
+        at += len(line) + 1
 
 
 def unit_spans(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised text) of a text's units, in order."""
-    cut = text
-    for mark in ".!?":
-        cut = cut.replace(f"{mark} ", f"{mark}\n")  # as long as before, so places stay
-    at = 0
-    for sentence in cut.split("\n"):
-        words = sentence.split()
-        if LEAST <= len(words) <= LONG:
-            a = at + len(sentence) - len(sentence.lstrip())
-            yield a, a + len(sentence.strip()), " ".join(words).lower()
-        elif len(words) > LONG:
+    found: dict[tuple[int, int], str] = {}
+    for a, b, line in _sentences(text):
+        part = text[a:b]
+        words = list(_WORD.finditer(text, a, b)) if not part.isascii() or len(part) > 2 * LEAST else ()
+        if line or len(words) >= LEAST:
+            found[a, b] = " ".join(part.split()).lower()
+        if len(words) > LONG:
             held: list[re.Match] = []
-            for word in _WORD.finditer(text, at, at + len(sentence)):
+            for word in words:
                 held.append(word)
-                if zlib.crc32(word[0].lower().encode()) % CUT_IN == 0:
+                if zlib.crc32(word[0].lower().encode()) % CUT_IN == 0 or word is words[-1]:
                     if len(held) >= LEAST:
-                        yield held[0].start(), held[-1].end(), " ".join(w[0] for w in held).lower()
+                        found[held[0].start(), held[-1].end()] = " ".join(text[held[0].start() : held[-1].end()].split()).lower()
                     held = []
-            if len(held) >= LEAST:
-                yield held[0].start(), held[-1].end(), " ".join(w[0] for w in held).lower()
-        at += len(sentence) + 1
+    for (a, b), unit in sorted(found.items()):
+        yield a, b, unit
 
 
 def units(docs: DataFrame) -> DataFrame:
