@@ -413,6 +413,24 @@ def test_short_lines_go(spark):
     assert got == {1: texts[0][1], 2: "\n  \nmore", 3: texts[2][1], 4: ""}
 
 
+def test_passages_go_whole(spark):
+    draw = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts, passages = [], []
+    for i in range(120):
+        own = lambda n: " ".join(draw.choice(vocabulary, n) + f"x{len(texts)}")
+        passage = draw.choice(vocabulary, 51)
+        for at in draw.choice(51, i % 5, replace=False):
+            passage[at] += "."
+        passages.append(f"p{i}a " + " ".join(passage) + f" p{i}z")
+        for _ in range(2):
+            texts.append((len(texts), f"{own(int(draw.integers(1, 30)))} {passages[-1]} {own(int(draw.integers(1, 30)))}"))
+    got = {r.doc_id: r.text for r in repeats.drop_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, passage in enumerate(passages):
+        assert got[2 * i] == texts[2 * i][1]
+        assert got[2 * i + 1] == texts[2 * i + 1][1].replace(passage, ""), i
+
+
 def test_surrogates(docs, rows, empty, odd):
     kept = surrogates.replace_personal(docs)
     assert kept.columns == ["doc_id", "source", "length", "key", "low", "text", "entities"]

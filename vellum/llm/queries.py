@@ -14,7 +14,7 @@ from .media import text_media
 from .mixing import pareto_mix
 from .near_dup import near_duplicates
 from .packing import best_fit_packing
-from .repeats import repeated_units
+from .repeats import repeated_passages
 from .secrets import secret_digest
 from .surrogates import replace_personal
 from .toxicity import toxicity
@@ -34,7 +34,7 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op3_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

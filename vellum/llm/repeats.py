@@ -1,13 +1,19 @@
 """Substring dedup by hashing lines and the sentences in them.
 
-A unit is a whole line of any length or a sentence in it; a sentence of more than LONG words is cut
-after words whose own hash says so, which lets a passage be found at any place in it. Parts of a line
-count from LEAST words on. Units are normalised (lower case, single spaces), and equal digests
-anywhere in the corpus are one group: the occurrence in the first document, at its first offset,
-stays; all others go. In scripts without spaces every character is a word.
+A unit is a whole line of any length, a sentence in it of at least LEAST words, or LEAST words of a
+longer sentence: those whose hash is the least of a window of WINDOW such places, so any run of
+WINDOW + LEAST - 1 words without a sentence's end has the same ones wherever it stands. Units are
+normalised (lower case, single spaces), and equal digests anywhere in the corpus are one group: the
+occurrence in the first document, at its first offset, stays; all others go. In scripts without
+spaces every character is a word.
+
+A unit that goes is lengthened to both sides word by word, by up to REACH words, as far as the text
+around it equals the text around the occurrence that stays, so a passage goes whole wherever it
+begins. Every word that goes equals an earlier one.
 
 Digests are counted with partial sums, and only rows of digests that recur are joined to their
-first occurrence, so a line that a third of all documents hold is never gathered in one task.
+first occurrence, so a line that a third of all documents hold is never gathered in one task. Texts
+are dealt by doc_id once more to look at the words around such units; texts aren't joined to texts.
 
 Defined cases: null and empty texts have no units and stay as they are; a repeat within one text
 goes as well; rows that share a doc_id compare by offset and count as repeats of each other; rows
@@ -20,8 +26,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, slices
 
-LEAST, LONG, CUT_IN = 6, 24, 12
+LEAST, WINDOW, REACH = 6, 16, 32
 UNITS = "doc_id long, start long, end long, digest binary"
 _ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"  # scripts without spaces
 _WORD = re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
@@ -59,22 +67,54 @@ def _sentences(text: str) -> Iterator[tuple[int, int, bool]]:
         at += len(line) + 1
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.lower().encode()) for w in words), np.uint32, len(words))
+
+
+def _anchors(words: list[str]) -> list[int]:
+    """Where runs of LEAST words begin that are the least of some window."""
+    h = _hashes(words).astype(np.uint64)
+    g = np.zeros(len(h) - LEAST + 1, np.uint64)
+    for i in range(LEAST):
+        g = g * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(g)]
+    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    g ^= g >> np.uint64(32)
+    least = np.unique(np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(axis=1) + np.arange(len(g) - WINDOW + 1)).tolist()
+    out: list[int] = []
+    for i in least:  # a text that repeats itself at once has the same run again and again
+        if not out or i - out[-1] >= LEAST or g[i] != g[out[-1]]:
+            out.append(i)
+    return out
+
+
+def _normal(part: str) -> str:
+    return " ".join(part.split()).lower()
+
+
+def _digest(unit: str) -> bytes:
+    return hashlib.blake2b(unit.encode(), digest_size=16).digest()
+
+
 def unit_spans(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised text) of a text's units, in order."""
     found: dict[tuple[int, int], str] = {}
+    held: list[tuple[int, int]] = []
     for a, b, line in _sentences(text):
-        part = text[a:b]
-        words = list(_WORD.finditer(text, a, b)) if not part.isascii() or len(part) > 2 * LEAST else ()
-        if line or len(words) >= LEAST:
-            found[a, b] = " ".join(part.split()).lower()
-        if len(words) > LONG:
-            held: list[re.Match] = []
-            for word in words:
-                held.append(word)
-                if zlib.crc32(word[0].lower().encode()) % CUT_IN == 0 or word is words[-1]:
-                    if len(held) >= LEAST:
-                        found[held[0].start(), held[-1].end()] = " ".join(text[held[0].start() : held[-1].end()].split()).lower()
-                    held = []
+        held.append((a, b))
+        if line or b - a >= 2 * LEAST - 1 or not text[a:b].isascii():
+            part = text[a:b]
+            if line or len(part.split() if part.isascii() else _WORD.findall(part)) >= LEAST:
+                found[a, b] = _normal(part)
+    for i, (a, b) in enumerate(held):
+        if i + 1 < len(held) and held[i + 1][1] <= b:
+            continue  # a line whose sentences follow
+        if b - a < 2 * (WINDOW + LEAST) - 3 and text[a:b].isascii():
+            continue
+        words = list(_WORD.finditer(text, a, b))
+        if len(words) >= WINDOW + LEAST - 1:
+            for at in _anchors([w[0] for w in words]):
+                x, y = words[at].start(), words[at + LEAST - 1].end()
+                found[x, y] = _normal(text[x:y])
     for (a, b), unit in sorted(found.items()):
         yield a, b, unit
 
@@ -87,21 +127,101 @@ def units(docs: DataFrame) -> DataFrame:
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 for a, b, unit in unit_spans(text or ""):
-                    for column, value in zip(rows, (doc_id, a, b, hashlib.blake2b(unit.encode(), digest_size=16).digest()), strict=True):
+                    for column, value in zip(rows, (doc_id, a, b, _digest(unit)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "end", "digest"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, UNITS)
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """Every occurrence that goes: doc_id, start, end, and where the one that stays is."""
+def _recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences that go, with their digest, and the first occurrence of each digest that recurs."""
     every = cut_lineage(units(docs))  # read twice below: texts are cut into units once, and not while rows are sorted
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end")
     recurring = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).filter("n > 1").select("digest", "kept.*")
-    first = recurring.select("digest", F.col("doc_id").alias("kept_doc_id"), F.col("start").alias("kept_start"))
+    first = recurring.select("digest", F.col("doc_id").alias("kept_doc_id"), F.col("start").alias("kept_start"), F.col("end").alias("kept_end"))
     same = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start"))
-    return every.join(first, "digest").filter(~same).select("doc_id", "start", "end", "kept_doc_id", "kept_start")
+    return every.join(first, "digest").filter(~same).select("doc_id", "start", "end", "kept_doc_id", "kept_start", "digest"), first
+
+
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """Every unit that goes: doc_id, start, end, and where the one that stays is."""
+    return _recurring(docs)[0].select("doc_id", "start", "end", "kept_doc_id", "kept_start")
+
+
+GONE = "doc_id long, start long, end long, kept_doc_id long, kept_start long"
+#: `before` and `after` are hashes of the words around a unit, nearest first, and `starts` and `ends` where those words begin and end.
+AROUND = f"{GONE}, digest binary, kept boolean, before binary, starts binary, after binary, ends binary"
+
+
+def _around(text: str, asks: list) -> Iterator[tuple]:
+    """Rows of AROUND. Words that go already need no look."""
+    words = list(_WORD.finditer(text))
+    begins = [w.start() for w in words]
+    asks = sorted({(a["start"], a["end"], a["kept"], bytes(a["digest"]), a["kept_doc_id"], a["kept_start"]) for a in asks}, key=lambda a: a[:4])
+    gone = np.zeros(len(words), bool)
+    places = []
+    for a, b, kept, digest, *_ in asks:
+        i, j = bisect_left(begins, a), bisect_left(begins, b)
+        places.append((i, j))
+        gone[i:j] |= not kept
+    for (a, b, kept, digest, doc, start), (i, j) in zip(asks, places, strict=True):
+        if _digest(_normal(text[a:b])) != digest:
+            continue  # another row of this doc_id
+        left, right = words[max(0, i - REACH) : i][::-1], words[j : j + REACH]
+        if not kept:
+            left, right = ([] if i == 0 or gone[i - 1] else left), ([] if j >= len(words) or gone[j] else right)
+        raw = (_hashes([w[0] for w in left]), np.array([w.start() for w in left], np.int64), _hashes([w[0] for w in right]), np.array([] if kept else [w.end() for w in right], np.int64))
+        yield a, b, doc, start, digest, kept, *(x.tobytes() for x in raw)
+
+
+def _alike(x: bytes, y: bytes) -> int:
+    """How many hashes are the same from the first on."""
+    n = min(len(x), len(y)) // 4
+    apart = np.frombuffer(x, np.uint32, n) != np.frombuffer(y, np.uint32, n)
+    return int(apart.argmax()) if apart.any() else n
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """Every passage that goes, lengthened as far as it repeats: doc_id, start, end, and where the one that stays is."""
+    gone, first = _recurring(docs)
+    gone = cut_lineage(gone)
+    kept = first.select("digest", F.col("kept_doc_id").alias("doc_id"), F.col("kept_start").alias("start"), F.col("kept_end").alias("end"))
+    ask = ("start", "end", "kept", "digest", "kept_doc_id", "kept_start")
+    none = F.lit(None).cast("long")
+    asks = gone.withColumn("kept", F.lit(False)).select("doc_id", *ask).unionByName(kept.select("doc_id", "start", "end", F.lit(True).alias("kept"), "digest", none.alias("kept_doc_id"), none.alias("kept_start")))
+    asks = asks.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct(*ask)).alias("asks"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in AROUND.split(", ")]
+        kinds = [*[pa.int64()] * 5, pa.binary(), pa.bool_(), *[pa.binary()] * 4]
+        for part in (x for batch in batches for x in slices(batch, "text")):
+            for at in range(len(part)):
+                doc, text = part.column("doc_id")[at].as_py(), part.column("text")[at].as_py()
+                rows = [(a, b, *others) for a, b, *others in _around(text or "", part.column("asks")[at].as_py())]
+                if rows:
+                    a, b, *others = map(list, zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[doc] * len(rows), a, b, *others], kinds, strict=True)], names)
+
+    told = cut_lineage(texts.join(asks, texts["doc_id"].eqNullSafe(F.col("asked_id"))).select("doc_id", "text", "asks").mapInArrow(look, AROUND))
+    stands = told.filter("kept").select("digest", F.col("before").alias("kept_before"), F.col("starts").alias("kept_starts"), F.col("after").alias("kept_after")).dropDuplicates(["digest"])
+    open_ = (F.length("before") > 0) | (F.length("after") > 0)
+    columns = [c.split()[0] for c in GONE.split(", ")]
+
+    def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pydict()
+            for i in range(len(batch)):
+                if n := _alike(rows["before"][i], rows["kept_before"][i]):
+                    rows["start"][i] = int(np.frombuffer(rows["starts"][i], np.int64)[n - 1])
+                    rows["kept_start"][i] = int(np.frombuffer(rows["kept_starts"][i], np.int64)[n - 1])
+                if n := _alike(rows["after"][i], rows["kept_after"][i]):
+                    rows["end"][i] = int(np.frombuffer(rows["ends"][i], np.int64)[n - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c], pa.int64()) for c in columns], columns)
+
+    longer = told.filter(~F.col("kept") & open_).drop("kept").join(stands, "digest").mapInArrow(lengthen, GONE)
+    return told.filter(~F.col("kept") & ~open_).select(*columns).unionByName(longer)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
@@ -122,7 +242,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     A document's spans are as many as its own units, so they are gathered by doc_id.
     """
     others = [c for c in docs.columns if c not in ("text", "kept_spans")]
-    gone = repeated_units(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")).withColumnRenamed("doc_id", "gone_id")
+    gone = repeated_passages(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")).withColumnRenamed("doc_id", "gone_id")
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")), "left").select(*(F.col(f"`{c}`") for c in others), F.col("text").cast("string").alias("text"), "gone")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
