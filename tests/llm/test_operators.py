@@ -448,6 +448,20 @@ def test_surrogates(docs, rows, empty, odd):
     assert surrogates.replace_personal(empty).count() == 0 and surrogates.replace_personal(odd).count() == 5
 
 
+def test_phones_and_addresses_of_many_forms(spark):
+    phones = ["+14155550123", "4155550123", "+33 1 42 68 53 00", "01 42 68 53 00", "0142685300", "+49 30 1234567", "030 1234567", "(030) 1234567", "0171/1234567", "+34 912 345 678", "91 123 45 67", "612 34 56 78", "0049 30 1234567", "415-555-0123"]
+    ips = ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1", "::1", "::ffff:10.0.0.1", "10.0.0.1"]
+    others = ["12:30:45", "03-12-2024", "2024-01-05", "std::vector", "1690000000", "12345678", "1.5 and 20 000"]
+    every = [*phones, *ips, *others]
+    rows = spark.createDataFrame([(i, f"see {x}, here") for i, x in enumerate(every)], "doc_id long, text string")
+    for r in surrogates.replace_personal(rows).collect():
+        kinds = [(e.kind, r.doc_id, e.end - e.start) for e in r.entities]
+        x = every[r.doc_id]
+        assert kinds == ([] if x in others else [("phone" if x in phones else "ip", r.doc_id, len(x))]), x
+        assert x in others or x not in r.text
+        assert x not in ips or ":" not in x or r.text.startswith("see 2001:db8:")
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("ip", f"10.0.{i // 250}.{i % 250}") for i in range(3000)] + [("name_f", f"Name{i}") for i in range(3000)], "kind string, entity string")
     got = surrogates.assign(entities).collect()

@@ -28,14 +28,32 @@ KEY = "surrogates 1"
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "госпожа"), "n": ("Dr", "Prof", "Mx")}
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join(t for some in TITLES.values() for t in some)
+_V4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: IPv6: eight groups, or fewer with '::', or with an IPv4 address at the end; one digit at least.
+_V6 = rf"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:{_HEX}:){{6}}{_V4}|(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,5}})?::(?:{_HEX}:){{0,5}}{_V4}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:]|\.\d)"
+_GAP = r"[\x20./-]"
+_PHONES = (
+    rf"(?:\+|00)1{_GAP}?\(?\d{{3}}\)?{_GAP}?\d{{3}}{_GAP}?\d{{4}}",
+    rf"(?:\+33|0033){_GAP}?(?:\(0\){_GAP}?)?[1-9](?:{_GAP}?\d{{2}}){{4}}",
+    rf"(?:\+34|0034){_GAP}?[6-9](?:{_GAP}?\d){{8}}",
+    # any other country: 8 to 15 digits
+    rf"(?:\+|00(?=[1-9]))\d(?:{_GAP}?\(?\d\)?){{7,14}}",
+    # France; three groups; Spain; Germany; ten digits as in North America
+    rf"0[1-9](?:{_GAP}?\d{{2}}){{4}}",
+    r"(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}[\x20.-]\d{3,4}",
+    rf"[6-9]\d{{2}}(?:{_GAP}\d{{2}}){{3}}|[89]\d{_GAP}\d{{3}}{_GAP}\d{{2}}{_GAP}\d{{2}}",
+    rf"(?=(?:[^\d\n]{{0,2}}\d){{8}})(?:\(0[1-9]\d{{1,4}}\)\x20?|0[1-9]\d{{1,4}}(?:\x20?/\x20?|[\x20-]))\d{{3,8}}(?:[\x20-]\d{{2,5}}){{0,2}}",
+    r"[2-9]\d{2}[2-9]\d{6}",
+)
 #: Kinds in order of precedence where they could begin at one place.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,7}\.[A-Za-z]{2,24}(?![\w-])",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "ip": rf"(?<![\w.])(?:{_V4})(?![\w]|\.\d)|{_V6}",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.-])[3-6]\d{3}([\x20-]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w.+-])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}[\x20.-]\d{3,4}(?![\w-])",
+    "phone": rf"(?<![\w.+-])(?:{'|'.join(_PHONES)})(?![\w-])",
     "name": rf"(?<!\w)(?:{_TITLE})\.?\x20{_NAME}(?:\x20{_NAME}){{0,2}}",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -114,6 +132,7 @@ def _derive(entities: DataFrame, key: str) -> DataFrame:
     hexa = F.col("h")
     domain = F.concat(F.lit("@mail"), F.conv(F.substring(hexa, 1, 5), 16, 10), F.lit(".example"))
     ip = F.concat_ws(".", *[(_number(hexa, 1 + 4 * i) % 254 + 1).cast("string") for i in range(4)])
+    ip = F.when(F.col("entity").contains(":"), F.concat_ws(":", F.lit("2001:db8"), *[F.substring(hexa, 1 + 4 * i, 4) for i in range(6)])).otherwise(ip)
     part = F.regexp_extract("kind", r"name_(.)", 1)
     surrogate = (
         F.when(F.col("kind") == "email", F.concat("shaped", domain))
