@@ -277,6 +277,11 @@ def test_fingerprints_are_homomorphic():
     assert fingerprint.likeness(vc[None], vc[None])[0] == 1 and not fingerprint.vectors([[]]).any()
 
 
+def test_likeness_of_very_long_texts():
+    whole, half = fingerprint.vectors([["same line"] * 40_000, ["same line"] * 20_000])
+    assert fingerprint.likeness(whole[None], half[None])[0] == pytest.approx(0.8)
+
+
 def test_toxicity_learns_stems():
     draw = np.random.default_rng(4)
     plain, ends = [f"tha{a}n{b}" for a in "eiou" for b in "rstlm"], ["ung", "ich", "er", "ent", "ost", "ab"]

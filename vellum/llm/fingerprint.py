@@ -2,7 +2,7 @@
 
 A text is the multiset of its paragraphs: lines, cut further after sentence ends, stripped, empty
 ones left out. Each paragraph's keyed hash gives LANES signs and WIDE full-range 64-bit values; a
-fingerprint is their sums modulo 2^16 and 2^64. Sums don't depend on order, and adding or taking
+fingerprint is their sums modulo 2^32 and 2^64. Sums don't depend on order, and adding or taking
 away a paragraph adds or takes away its vector, so fingerprints are kept up to date without the
 text. Equal multisets have equal fingerprints; different ones differ but with probability 2^-128.
 
@@ -30,7 +30,7 @@ from .common import slices
 
 LANES, WIDE = 128, 4
 _SIGNS, _WORDS = LANES // 8, 8 * WIDE
-BYTES = 2 * LANES + _WORDS
+BYTES = 4 * LANES + _WORDS
 KEY = b"paragraph multiset 1"
 #: Rows of a range of ids, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 1000, 8192
@@ -55,7 +55,7 @@ def vectors(texts: list[list[str]]) -> np.ndarray:
     if len(some):
         begins = (np.cumsum(counts) - counts)[some]
         up = np.add.reduceat(np.unpackbits(raw[:, :_SIGNS], axis=1), begins, axis=0, dtype=np.int64)
-        lanes = (2 * up - counts[some, None]).astype(np.uint64).astype("<u2")
+        lanes = (2 * up - counts[some, None]).astype(np.uint64).astype("<u4")
         wide = np.add.reduceat(np.ascontiguousarray(raw[:, _SIGNS:]).view("<u8"), begins, axis=0)
         out[some] = np.concatenate([lanes.view(np.uint8), wide.astype("<u8").view(np.uint8)], axis=1)
     return out
@@ -65,7 +65,7 @@ def combined(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
     """Fingerprints of `a` with the paragraphs of `b` inserted (sign 1) or deleted (-1)."""
     a, b = np.ascontiguousarray(a), np.ascontiguousarray(b)
     parts = []
-    for columns, kind in ((slice(0, 2 * LANES), "<u2"), (slice(2 * LANES, BYTES), "<u8")):
+    for columns, kind in ((slice(0, 4 * LANES), "<u4"), (slice(4 * LANES, BYTES), "<u8")):
         x, y = (np.ascontiguousarray(v[..., columns]).view(kind) for v in (a, b))
         parts.append((x + y if sign > 0 else x - y).view(np.uint8))
     return np.concatenate(parts, axis=-1)
@@ -73,7 +73,7 @@ def combined(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The estimated Dice similarity of rows of fingerprints, 0 to 1; 1 for equal ones."""
-    x, y = (np.ascontiguousarray(v[:, : 2 * LANES]).view("<i2").astype(np.float64) for v in (a, b))
+    x, y = (np.ascontiguousarray(v[:, : 4 * LANES]).view("<i4").astype(np.float64) for v in (a, b))
     apart, sizes = ((x - y) ** 2).sum(axis=1), (x**2).sum(axis=1) + (y**2).sum(axis=1)
     near = np.clip(1 - apart / np.where(sizes > 0, sizes, 1), 0, 1)
     return np.where((a == b).all(axis=1), 1.0, near)
