@@ -138,6 +138,17 @@ def test_word_ids_equal_the_tokenizer():
         assert tokenizer.encode(t, add_special_tokens=False).ids == ids[a:b].tolist(), t
 
 
+def test_word_ids_compose_before_lowering():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    texts = ["H\u0331a T\u0308 W\u030a Y\u030a J\u030c", "Plain WORDS plain words", "An H\u0331 <|endoftext|> Plain"]
+    for some in (texts, texts[:1], texts[:2]):
+        ids, at = packing.WordIds(tokenizer_path())(pa.array(some))
+        for t, a, b in zip(some, at[:-1], at[1:], strict=True):
+            assert tokenizer.encode(t, add_special_tokens=False).ids == ids[a:b].tolist(), t
+
+
 def shingle_set(text):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}

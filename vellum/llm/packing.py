@@ -98,14 +98,15 @@ class WordIds:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (with the end of the last)."""
         texts = pc.fill_null(texts, "")
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else a special token could appear
-            texts = pc.ascii_lower(texts)
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        known = coded.dictionary
+        # the tokenizer composes before it lowers, so only ASCII words are lowered here, and none that could hold a special token
+        plain = pc.and_(pc.string_is_ascii(known), pc.invert(pc.match_substring(known, "<|")))
+        known = pc.if_else(plain, pc.ascii_lower(known), known).to_pylist()
         if len(self.place) > self.limit:
             self.reset()
-        if fresh := [w for w in known if w not in self.place]:
+        if fresh := [w for w in dict.fromkeys(known) if w not in self.place]:
             self.learn(fresh)
         place = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
         place = place[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int64)
