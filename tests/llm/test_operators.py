@@ -478,6 +478,26 @@ def test_phones_and_addresses_of_many_forms(spark):
         assert x not in ips or ":" not in x or r.text.startswith("see 2001:db8:")
 
 
+def test_later_mentions_get_the_same_surrogates(spark):
+    texts = [
+        "Dr Ann Lee came. Lee said so, and Ann Lee's word (LEE) went; mail a@b.org to Lee. Leeds and lee stay.",
+        "Ms Ann Lee wrote to Dr Ann Lee's office. Ann agreed.",
+        "Lee and Ann are others here, 10.0.0.1 too.",
+    ]
+    got = [r for r in surrogates.replace_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    _, ann, lee = got[0].entities[0].surrogate.split()
+    assert ann.endswith("a") and len({"Ann", "Lee", ann, lee}) == 4
+    mail = next(e.surrogate for e in got[0].entities if e.kind == "email")
+    assert got[0].text == f"Dr {ann} {lee} came. {lee} said so, and {ann} {lee}'s word ({lee.upper()}) went; mail {mail} to {lee}. Leeds and lee stay."
+    assert got[1].text == f"Ms {ann} {lee} wrote to Dr {ann} {lee}'s office. {ann} agreed."
+    assert got[2].text.startswith("Lee and Ann are others")
+    for r, t in zip(got, texts, strict=True):
+        at, out = 0, ""
+        for e in r.entities:
+            out, at = out + t[at : e.start] + e.surrogate, e.end
+        assert out + t[at:] == r.text
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("ip", f"10.0.{i // 250}.{i % 250}") for i in range(3000)] + [("name_f", f"Name{i}") for i in range(3000)], "kind string, entity string")
     got = surrogates.assign(entities).collect()

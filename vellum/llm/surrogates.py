@@ -8,6 +8,10 @@ case. The same entity gets the same replacement everywhere (a name's words one b
 Lee' and 'Ms Lee' stay one person), and different entities of a kind get different ones:
 replacements that collide, or equal an entity of the input, are derived anew until none does.
 
+A person is a first and a last word after a title; if titles tell a gender anywhere, it holds for
+all the person's mentions (that of women, if titles differ). A document's name words are replaced
+wherever they recur in it capitalised or in capitals, with or without a title.
+
 Texts without entities are passed on in place; only the others' parts and the table of distinct
 entities are shuffled.
 
@@ -27,6 +31,8 @@ KEY = "surrogates 1"
 #: Titles by gender (m, f, or n where they don't tell).
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "госпожа"), "n": ("Dr", "Prof", "Mx")}
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+#: What a genitive adds to a name.
+_GENITIVE = "['’][sS]?$"
 _TITLE = "|".join(t for some in TITLES.values() for t in some)
 _V4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
@@ -163,12 +169,63 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _units(kind: Column, entity: Column) -> Column:
-    """What is replaced as one: an entity, or each word of a name; title words stay."""
+    """What is replaced as one: an entity, or each word of a name; title words stay, and so does a genitive's end.
+
+    `person` joins the mentions of somebody named by several words.
+    """
     words = F.split(entity, " ")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, _GENITIVE, ""))
+    titled = F.regexp_replace(words[0], r"\.$", "").isin(*(t for some in TITLES.values() for t in some))
     gender = F.coalesce(*[F.when(F.regexp_replace(words[0], r"\.$", "").isin(*some), F.lit(g)) for g, some in TITLES.items()], F.lit("n"))
-    last = F.size(words) - 1
-    named = F.transform(words, lambda w, i: F.struct(F.when(i == 0, F.lit("title")).when(i == last, F.lit("name_s")).otherwise(F.concat(F.lit("name_"), gender)).alias("kind"), w.alias("entity")))
-    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("entity"))))
+    last, first = F.size(words) - 1, F.when(titled, 1).otherwise(0)
+    person = F.when(titled & (last > 1), F.lower(F.concat_ws(" ", bare[1], F.element_at(bare, -1))))
+    one = lambda kind, entity, tail, person: F.struct(kind.alias("kind"), entity.alias("entity"), tail.alias("tail"), person.alias("person"))
+    named = F.transform(
+        words,
+        lambda w, i: one(
+            F.when(i < first, F.lit("title")).when(~titled, F.lit("again")).when(i == last, F.lit("name_s")).otherwise(F.concat(F.lit("name_"), gender)),
+            F.when(i < first, w).otherwise(F.get(bare, i)),
+            F.when(i < first, F.lit("")).otherwise(F.regexp_extract(w, _GENITIVE, 0)),
+            person,
+        ),
+    )
+    return F.when(kind == "name", named).otherwise(F.array(one(kind, entity, F.lit(""), F.lit(None).cast("string"))))
+
+
+def _all_units(parts: DataFrame, found: str) -> DataFrame:
+    one = parts.filter(f"{found} is not null").select("row", "i", F.posexplode(_units(F.col("found_kind"), F.col(found))).alias("j", "unit"))
+    return one.select("row", "i", "j", "unit.*")
+
+
+def _name_words(units: DataFrame) -> DataFrame:
+    """row, word (lower case), kind of every name word of a row; each person has one gender."""
+    names = units.filter(F.col("kind").startswith("name_"))
+    settled = names.filter("person is not null and kind in ('name_f', 'name_m')").groupBy("person").agg(F.min("kind").alias("settled"))
+    known = names.join(settled, "person", "left").withColumn("kind", F.when(F.col("kind") == "name_s", F.col("kind")).otherwise(F.coalesce("settled", "kind")))
+    # a word is what it is in a name of several words, and else a last word
+    rank = F.struct(F.col("person").isNull(), F.col("kind"))
+    return known.groupBy("row", F.lower("entity").alias("word")).agg(F.min(rank).alias("k"), F.collect_set("entity").alias("forms")).select("row", "word", F.col("k.kind").alias("word_kind"), "forms")
+
+
+def _with_mentions(parts: DataFrame, words: DataFrame) -> DataFrame:
+    """Parts cut further where a row's name words recur between its entities."""
+    forms = F.array_distinct(F.flatten(F.collect_list(F.concat("forms", F.transform("forms", F.upper)))))
+    some = F.concat(F.lit("(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    patterns = words.filter(F.length("word") > 1).groupBy("row").agg(some.alias("some")).select("row", F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.col("some"), F.lit(r"(?:\x20"), F.col("some"), F.lit(")*")).alias("names"))
+    joined = parts.join(patterns, "row", "left")
+    gaps = F.when(F.col("names").isNull(), F.array("gap")).otherwise(F.split("gap", F.col("names"), -1))
+    told = F.when(F.col("names").isNull(), F.array().cast("array<string>")).otherwise(F.expr("regexp_extract_all(gap, names, 0)"))
+    cut = joined.select("row", "kept", "i", "found", "found_kind", gaps.alias("gaps"), told.alias("told"))
+    again = cut.select("*", F.posexplode("gaps").alias("k", "part"))
+    at_end = F.col("k") == F.size("gaps") - 1
+    return again.select(
+        "row",
+        F.when(F.col("k") == 0, F.col("kept")).alias("kept"),
+        F.struct("i", "k").alias("i"),
+        F.col("part").alias("gap"),
+        F.when(at_end, F.col("found")).otherwise(F.get("told", F.col("k"))).alias("found"),
+        F.when(at_end, F.col("found_kind")).otherwise(F.lit("name")).alias("found_kind"),
+    )
 
 
 def replace_personal(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -185,9 +242,15 @@ def replace_personal(docs: DataFrame, key: str = KEY) -> DataFrame:
     zipped = F.arrays_zip(F.split("text", _ANY, -1).alias("gap"), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)).alias("entity"))
     parts = rows.filter(found).withColumn("row", F.monotonically_increasing_id()).select("row", "kept", F.posexplode(zipped).alias("i", "part"))
     parts = cut_lineage(parts.select("row", F.when(F.col("i") == 0, F.col("kept")).alias("kept"), "i", F.col("part.gap").alias("gap"), F.col("part.entity").alias("found"), F.when(F.col("part.entity").isNotNull(), _kind(F.col("part.entity"))).alias("found_kind")))
-    units = parts.filter("found is not null").select("row", "i", F.posexplode(_units(F.col("found_kind"), F.col("found"))).alias("j", "unit")).select("row", "i", "j", "unit.kind", "unit.entity")
+    words = cut_lineage(_name_words(_all_units(parts.filter("found_kind = 'name'"), "found")))
+    parts = cut_lineage(_with_mentions(parts, words))
+    word = words.select(F.col("row").alias("word_row"), "word", "word_kind")
+    every = _all_units(parts, "found")
+    named = every.filter("kind = 'again' or kind like 'name\\_%'").join(word, (F.col("row") == F.col("word_row")) & (F.lower("entity") == F.col("word")), "left").withColumn("kind", F.col("word_kind"))
+    columns = ("row", "i", "j", "kind", "entity", "tail")
+    units = cut_lineage(every.filter("kind <> 'again' and kind not like 'name\\_%'").select(*columns).unionByName(named.select(*columns)))
     table = assign(units.filter("kind != 'title'"), key)
-    said = units.join(table, ["kind", "entity"], "left").groupBy("row", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", F.coalesce("surrogate", "entity").alias("s")))), lambda x: x["s"]), " ").alias("surrogate"))
+    said = units.join(table, ["kind", "entity"], "left").groupBy("row", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", F.concat(F.coalesce("surrogate", "entity"), F.col("tail")).alias("s")))), lambda x: x["s"]), " ").alias("surrogate"))
     whole = parts.join(said, ["row", "i"], "left").groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), F.array_sort(F.collect_list(F.struct("i", "gap", "found", "found_kind", "surrogate"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["gap"], F.coalesce(p["surrogate"], F.lit("")))), "")
     spans = F.aggregate(
