@@ -335,6 +335,13 @@ def test_windows_cover_every_word():
         assert covered == set(range(n))
 
 
+def test_passages_lie_whole_in_a_window():
+    for n in (40, 100, 333):
+        begins = toxicity.windows(n)
+        for length in (9, 16, 20, 25):
+            assert all(((begins <= a) & (a + length <= begins + toxicity.WINDOW)).any() for a in range(n - length + 1))
+
+
 def test_toxicity_table(docs, empty, spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels).collect()

@@ -3,8 +3,8 @@
 A word enters as a learned vector of its own (hashed) beside the mean of the vectors of its three-
 and four-byte pieces (hashed), so unseen inflections of a known stem are recognised. Two gated
 recurrent layers read each window forwards and backwards, attention weighs their states, and a
-document's score is that of its highest window: all overlapping windows of the whole text are
-scored. Training follows the same rule, with gradients through each document's highest window.
+document's score is that of its highest window: windows of WINDOW words at every STRIDE words of the
+whole text are scored, so any WINDOW - STRIDE + 1 words in a row lie whole in one. Training follows the same rule, with gradients through each document's highest window.
 
 Only words are inputs. Labels are learned from at most POSITIVES and NEGATIVES labelled documents of
 at most MOST_CHARS characters, chosen by a hash of doc_id, never from held-out rows (crc32 of doc_id
@@ -31,7 +31,7 @@ from .common import slices
 from .shingles import U64, hash_words, mix, word_places
 
 POSITIVES, NEGATIVES, MOST_CHARS = 1200, 2400, 12_000
-WINDOW, STRIDE, BLOCK = 32, 24, 2048
+WINDOW, STRIDE, BLOCK = 32, 8, 2048
 WORDS, PIECES, EACH, HIDDEN, LOOK = 1 << 14, 1 << 14, 8, 8, 8
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 6, 250, 128, 0.01, 7
 #: Share of words that a batch knows by their pieces only.
