@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: Arrow batches are worked through in slices of about so many bytes of text.
 SLICE_BYTES = 4 << 20
+#: Keys of over one HOT-th of all rows are dealt over several tasks, from HOT_LEAST rows on.
+HOT, HOT_LEAST = 20_000, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor shares; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which every executor shares.
+
+    Where it is unset, a local session gets a temporary one; on a cluster that is an error, as every
+    executor would write to its own disk.
+    """
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tables-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -45,6 +53,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """`rows` joined to `side`, which has a row or a few for each key, however many rows share a key.
+
+    Keys of more than a HOT-th part of all rows (HOT_LEAST at least) are found by partial sums; there
+    are fewer than HOT of them, so their list is broadcast. Their rows are dealt over as many parts
+    as hold such a share each, and the side's row is repeated for every part. `rows` should be a
+    table, as it is read twice; `counts` (keys, n) saves counting again.
+    """
+    limit = max(HOT_LEAST, rows.count() // HOT)
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = F.broadcast(counts.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("long").alias("hot_parts")))
+    # the row's number deals equal rows to different parts too
+    dealt = rows.join(hot, on, "left").withColumn("hot_part", F.when(F.col("hot_parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("hot_parts")))).drop("hot_parts")
+    copies = side.join(hot, on, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("hot_parts", F.lit(1)) - 1))).drop("hot_parts")
+    return dealt.join(copies, [*on, "hot_part"], how).drop("hot_part")
+
+
 def word_count(text: Column) -> Column:
     """How many words a text has; 0 for null."""
     marks = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "w")
