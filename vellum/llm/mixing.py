@@ -1,23 +1,32 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target in words. A document is expected `target / source size` times (scaled
-by an optional weight of its own): the whole part is allocated with certainty, the rest is the
-inclusion probability p of one more copy. Documents are ordered by the Pareto ranking variable
-[u / (1 - u)] / [p / (1 - p)], u uniform from a hash of doc_id, and taken in that order while the
-source's remaining words last. The document that would pass the target is left out, and the next
-LOOK or so in order are tried for the gap it leaves, so the sample's size is fixed in words.
+Every source gets a target in words. Within a source, a document's expected copies are in proportion
+to its weight, at most MOST_COPIES, and such that they fill the target: the whole part is allocated
+with certainty, the rest is the inclusion probability p of one more copy. Documents are ordered by
+the Pareto ranking variable [u / (1 - u)] / [p / (1 - p)], u uniform from a hash of doc_id, and taken
+in that order while the source's remaining words last. The document that would pass the target is
+left out, and the next LOOK or so in order are tried for the gap it leaves, so the sample's size is
+fixed in words.
+
+Weights are any positive column or function of the size, such as `by_length`; they are rounded to
+2 ** (1 / STEPS), so a source's weights are few however many documents it has, and where the cap of
+copies binds follows from sums by source and weight.
 
 The order needs no global sort: the ranking variable is cut into buckets, sums per source and
 bucket find where the boundary falls, and only a few hundred rows of each source from there on are
-ordered. The number of buckets follows the input, so those rows don't.
+ordered, equal ones as one row with their number. The number of buckets follows the input, so those
+rows don't.
 
 Defined cases: a null text has size 0 and is taken as often as its source's order says (0 words);
-a null source is one source, last in order; a source without words has target 0; rows that share
-a doc_id tie and are ordered by size; an empty table gives an empty result.
+a null source is one source, last in order; a source without words has target 0; a null, zero or
+negative weight is only taken when all others of its source are at the cap; rows that share a
+doc_id tie and are ordered by size; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +34,10 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, word_count
 
 MOST_COPIES = 3
+#: Weights are rounded to whole STEPS-ths of a power of two.
+STEPS = 16
+#: Stands for null, zero and negative weights, which are only taken when all others are at the cap.
+NONE = 1e-200
 CYCLE = (1, 2, 3)
 #: Hexadecimal digits of the hash that make u, so many bits of it.
 DIGITS, BITS = 13, 52
@@ -67,33 +80,41 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int =
     )
 
 
-def expected_copies(rows: DataFrame, most: int) -> DataFrame:
-    """Adds `expected`: copies in proportion to `weight`, at most `most`, filling each source's target.
+def by_length(size: Column) -> Column:
+    """A weight that grows by one with each doubling of a document's size: longer texts are likelier, very short ones least."""
+    return 1 + F.log2(1 + size)
+
+
+def weight_scales(rows: DataFrame, most: int) -> DataFrame:
+    """source, step, expected: copies of the documents of each weight (2 ** (step / STEPS)) of a source.
 
-    Each round holds documents above the cap and spreads the rest over the others; a round changes
-    fewer documents than the one before, and none when all weights are equal.
+    Copies are `scale * weight`, at most `most`. Heavy weights reach the cap first, so in falling
+    order the scale is what the uncapped rest needs: it rises while weights are capped and falls
+    after, and its highest value over the uncapped ones is where they stand.
     """
-    rows = rows.withColumn("held", F.lit(False))
-    for _ in range(32):
-        free = F.when(F.col("held"), 0.0).otherwise(F.col("size") * F.col("weight"))
-        fixed = F.when(F.col("held"), F.col("size") * most).otherwise(0)
-        scale = rows.groupBy("source").agg(((F.max("target") - F.sum(fixed)) / F.sum(free)).alias("scale"))
-        stepped = rows.alias("r").join(scale.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.scale")
-        stepped = cut_lineage(stepped.withColumn("expected", F.when(F.col("held"), F.lit(float(most))).otherwise(F.coalesce(F.col("weight") * F.col("scale"), F.lit(0.0)))))
-        over = ~F.col("held") & (F.col("expected") > most)
-        if stepped.filter(over).isEmpty():
-            return stepped.drop("held", "scale")
-        rows = stepped.withColumn("held", F.col("held") | (F.col("expected") > most)).drop("scale", "expected")
-    return stepped.withColumn("expected", F.least("expected", F.lit(float(most)))).drop("held", "scale")
-
-
-def pareto_mix(docs: DataFrame, weight: str | None = None, cycle: tuple[int, ...] = CYCLE, most: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source, source_size, target, copies and taken (words, repeats counted) of every document.
-
-    `weight` names a positive column that makes inclusion odds unequal within a source too.
+    sums = rows.groupBy("source", "step").agg(F.sum("size").alias("words"), F.max("target").alias("target"))
+    weight = F.when(F.col("step").isNotNull(), F.pow(F.lit(2.0), F.col("step") / STEPS)).otherwise(NONE)
+    heavier = Window.partitionBy("source").orderBy(F.col("step").desc_nulls_last())
+    before, onward = heavier.rowsBetween(Window.unboundedPreceding, -1), heavier.rowsBetween(0, Window.unboundedFollowing)
+    free = F.sum(F.col("words") * F.col("weight")).over(onward)
+    scale = (F.col("target") - most * F.coalesce(F.sum("words").over(before), F.lit(0))) / F.when(free > 0, free)
+    stepped = sums.withColumn("weight", weight).withColumn("scale", scale).withColumn("capped", F.coalesce(F.col("weight") * F.col("scale") >= most, F.lit(False)))
+    settled = F.max(F.when(~F.col("capped"), F.col("scale"))).over(Window.partitionBy("source"))
+    expected = F.when(F.col("capped"), F.lit(float(most))).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.col("weight") * F.col("settled")), F.when(F.col("target") > 0, F.lit(float(most))), F.lit(0.0)))
+    return stepped.withColumn("settled", settled).select("source", "step", F.least(expected, F.lit(float(most))).alias("expected"))
+
+
+def pareto_mix(docs: DataFrame, weight: str | Callable[[Column], Column] | None = None, cycle: tuple[int, ...] = CYCLE, most: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
+    """doc_id, size, source, source_size, target, expected, copies and taken (words, repeats counted) of every document.
+
+    `weight` names a positive column, or is a function of the size, that makes inclusion odds
+    unequal within a source; without it they are equal.
     """
-    fine = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
-    sizes = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), fine.alias("weight")))
+    size = word_count(F.col("text").cast("string"))
+    own = F.lit(None).cast("double") if not isinstance(weight, str) else F.col(f"`{weight}`").cast("double")
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), own.alias("own"))
+    given = F.lit(1.0) if weight is None else F.col("own") if isinstance(weight, str) else weight(F.col("size")).cast("double")
+    sizes = cut_lineage(sizes.withColumn("given", given).withColumn("step", F.when(F.col("given") > 0, F.round(F.log2("given") * STEPS).cast("int"))).drop("given", "own"))
     targets = cut_lineage(source_targets(sizes, cycle, most))
     buckets = max(64, min(sizes.count() // A_BUCKET, MOST_BUCKETS))
     small = targets.count() <= FEW_SOURCES  # the check behind the broadcasts below
@@ -103,10 +124,10 @@ def pareto_mix(docs: DataFrame, weight: str | None = None, cycle: tuple[int, ...
         return rows.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("of_source")), how).drop("of_source")
 
     rows = by_source(sizes, targets)
-    if weight is None:
-        rows = rows.withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    else:
-        rows = expected_copies(rows, most)
+    scales = cut_lineage(weight_scales(rows, most))
+    few = scales.count() <= FEW_SOURCES
+    scales = scales.select(F.col("source").alias("of_source"), F.col("step").alias("of_step"), "expected")
+    rows = rows.join(F.broadcast(scales) if few else scales, F.col("source").eqNullSafe(F.col("of_source")) & F.col("step").eqNullSafe(F.col("of_step"))).drop("of_source", "of_step", "step")
     p = F.col("expected") - F.col("whole")
     u = (draw(F.col("doc_id"), seed) + 0.5) / float(1 << BITS)
     # place = Q / (1 + Q) for the ranking variable Q; p = 0 comes last
@@ -127,18 +148,22 @@ def pareto_mix(docs: DataFrame, weight: str | None = None, cycle: tuple[int, ...
     rows = by_source(by_source(rows, edge, "left"), last, "left")
     near = F.coalesce(F.col("bucket").between(F.col("edge.bucket"), F.least(F.coalesce(F.col("last"), F.lit(buckets)), F.lit(buckets - 1))), F.lit(False))
     ahead_of = F.col("bucket") < F.coalesce(F.col("edge.bucket"), F.lit(buckets))
-    kept = ["doc_id", "size", "source", "source_size", "target", "whole"]
+    kept = ["doc_id", "size", "source", "source_size", "target", "expected", "whole"]
     gap = (F.col("edge.rest") - F.col("edge.words")).alias("gap")
-    filled = rows.filter(near).select(*kept, "place", "draw", gap).groupBy("source").applyInPandas(fill_gap, f"{', '.join(f'{c} {t}' for c, t in rows.select(*kept).dtypes)}, more long")
+    alike = rows.filter(near).groupBy(*kept, "place", "draw", gap).agg(F.count(F.lit(1)).alias("n"))  # equal rows as one
+    filled = alike.groupBy("source").applyInPandas(fill_gap, f"{', '.join(f'{c} {t}' for c, t in rows.select(*kept).dtypes)}, more long, n long")
+    filled = filled.select(*kept, "more", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).drop("i")
     taken = rows.filter(~near).select(*kept, ahead_of.cast("long").alias("more")).unionByName(filled)
-    return taken.withColumn("copies", F.col("whole") + F.col("more")).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return taken.withColumn("copies", F.col("whole") + F.col("more")).select("doc_id", "size", "source", "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def fill_gap(rows: pd.DataFrame) -> pd.DataFrame:
-    """Takes each of a source's rows, in order, that still fits its gap."""
+    """Takes each of a source's rows, in order, that still fits its gap; `n` equal rows as many times as they fit."""
     rows = rows.sort_values(["place", "draw", "doc_id", "size"], kind="stable")
-    gap, more = rows["gap"].iloc[0], []
-    for size in rows["size"]:
-        more.append(int(size <= gap))
-        gap -= size * more[-1]
-    return rows.drop(columns=["place", "draw", "gap"]).assign(more=more)
+    gap, fits = rows["gap"].iloc[0], []
+    for size, n in zip(rows["size"], rows["n"], strict=True):
+        fits.append(n if not size else min(n, max(0, int(gap // size))))
+        gap -= size * fits[-1]
+    out = rows.drop(columns=["place", "draw", "gap"])
+    some, others = out.assign(more=1, n=fits), out.assign(more=0, n=out["n"] - fits)
+    return pd.concat([some[some["n"] > 0], others[others["n"] > 0]])
