@@ -12,8 +12,9 @@ Work follows the documents, not the pairs:
 1. Equal sets are one class, of which the smallest doc_id takes part.
 2. Each bucket's leader is its densest member, the one with the most neighbours in all its buckets:
    of many edits of one text that is the text itself. Documents are compared with the leaders of
-   their buckets, first with the one that looks most alike, then, where components still differ,
-   with the others. A component thus costs a comparison or a few for each member.
+   their buckets, first with the one that they meet in most buckets, then, where components still
+   differ, with the others. A component thus costs a comparison or a few for each member, and
+   sketches and texts are only sent for those.
 3. Only buckets that still hold several components are looked at again, in blocks, members outside
    the leader's component against all members. A block holds its members' sketches and full sets:
    pairs of different components whose sketches pass are confirmed there at once, and only links
@@ -21,7 +22,8 @@ Work follows the documents, not the pairs:
    A bucket of one component costs nothing, however large.
 
 Comparisons are grouped by the leader and salted, so a leader that a third of all rows
-follow is copied once for GROUP followers and each group stays bounded.
+follow is copied once for GROUP followers and each group stays bounded. Buckets, leaders and classes
+that very many rows share are joined in several tasks.
 
 Defined cases: null, empty or blank texts have an empty set (n_shingles 0), are linked with nothing
 and kept; rows that share a doc_id are one document with the links of all of them; rows without a
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices
+from .common import cut_lineage, slices, spread_join
 from .components import components
 from .shingles import U64, mix, shingle_sets
 
@@ -108,23 +110,23 @@ def ones(a: Column, b: Column) -> Column:
 
 
 def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (high, low) whose sizes and sketches allow the threshold, with the sketches' difference."""
-    for end in ("high", "low"):
-        pairs = pairs.join(signed.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_sketch")), end)
+    """The pairs (high, low) of a table whose sizes and sketches allow the threshold; many may share `low`."""
+    low, high = (signed.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_sketch")) for end in ("low", "high"))
+    both = spread_join(pairs.select("high", "low"), low, ["low"]).join(high, "high")
     fits = 100 * F.least("high_n", "low_n") >= THRESHOLD * F.greatest("high_n", "low_n")
-    return pairs.filter(fits).withColumn("ones", ones(F.col("high_sketch"), F.col("low_sketch"))).filter(F.col("ones") <= MOST_ONES).select("high", "low", "ones")
+    return both.filter(fits & (ones(F.col("high_sketch"), F.col("low_sketch")) <= MOST_ONES)).select("high", "low")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (high, low) whose full sets reach the threshold; `texts` has doc_id and text.
+    """The pairs (high, low) of a table whose full sets reach the threshold; `texts` has doc_id and text.
 
     Pairs are grouped by `low`, so that is best the one that many pairs share.
     """
     salts = pairs.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
-    dealt = pairs.join(salts, "low").select("low", F.pmod(F.xxhash64("high"), F.col("salts")).cast("int").alias("salt"), F.col("high").alias("doc_id"))
+    dealt = spread_join(pairs, salts, ["low"]).select("low", F.pmod(F.xxhash64("high"), F.col("salts")).cast("int").alias("salt"), F.col("high").alias("doc_id"))
     leaders = salts.select("low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("low").alias("doc_id"))
-    wanted = dealt.unionByName(leaders)
-    grouped = texts.join(wanted, "doc_id").repartition("low", "salt").sortWithinPartitions("low", "salt", F.col("doc_id") != F.col("low"))
+    wanted = cut_lineage(dealt.unionByName(leaders))
+    grouped = spread_join(wanted, texts, ["doc_id"]).repartition("low", "salt").sortWithinPartitions("low", "salt", F.col("doc_id") != F.col("low"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, heads = None, []
@@ -160,8 +162,9 @@ def rooted(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (high, low) whose ends lie in different components."""
-    return rooted(rooted(pairs, roots, "high"), roots, "low").filter("high_root != low_root").select("high", "low")
+    """The pairs (high, low) of a table whose ends lie in different components."""
+    low = spread_join(pairs.select("high", "low"), roots.select(F.col("node").alias("low"), F.col("root").alias("low_root")), ["low"], "left")
+    return rooted(low, roots, "high").filter(F.col("high_root") != F.coalesce("low_root", "low")).select("high", "low")
 
 
 def set_rows(texts: DataFrame) -> DataFrame:
@@ -228,7 +231,8 @@ def open_links(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: D
     main = F.max(F.when(F.col("doc_id") == F.col("leader"), F.col("root"))).alias("main")
     several = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), main, F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("elements"))
     blocks = F.greatest(F.ceil(F.col("members") / HELD), F.ceil(F.col("elements") / HELD_ELEMENTS)).cast("int")
-    rows = cut_lineage(rows.select("key", "doc_id", "root").join(several.filter("least < most").select("key", "main", blocks.alias("blocks")), "key"))
+    rows = cut_lineage(rows.select("key", "doc_id", "root"))
+    rows = cut_lineage(spread_join(rows, several.filter("least < most").select("key", "main", blocks.alias("blocks")), ["key"]))
     sets = cut_lineage(set_rows(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")))
     kept = ["key", "block", "probe", "doc_id", "root"]
     bases = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False)).select(*kept)
@@ -270,29 +274,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = cut_lineage(known.groupBy(*identity).agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("first")).select(*identity, "first.*"))
     buckets = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = cut_lineage(buckets.join(sizes, "key"))
+    sizes = cut_lineage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = cut_lineage(spread_join(buckets, sizes.withColumn("members", F.col("n")).drop("n"), ["key"], counts=sizes))
     density = shared.groupBy("doc_id").agg(F.sum("members").alias("density"))
     leaders = shared.join(density, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("density", -F.col("doc_id"))).alias("leader"))
-    shared = cut_lineage(shared.select("doc_id", "n_shingles", "key").join(leaders, "key"))
+    shared = cut_lineage(spread_join(shared.select("doc_id", "n_shingles", "key"), leaders, ["key"], counts=sizes))
     texts = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
 
-    led = cut_lineage(alike(shared.filter("doc_id != leader").select(F.col("doc_id").alias("high"), F.col("leader").alias("low")).distinct(), classes))
+    # sketches travel only for pairs that may still join components: first each document with the leader that it meets in most buckets
+    led = cut_lineage(shared.filter("doc_id != leader").groupBy(F.col("doc_id").alias("high"), F.col("leader").alias("low")).agg(F.count(F.lit(1)).alias("met")))
     # rows that share a doc_id are one document, though their texts may lie in several classes
-    own = known.select("doc_id", *identity).join(classes.select(*identity, F.col("doc_id").alias("low")), identity)
-    split = own.groupBy("doc_id").agg(F.min("low").alias("a"), F.max("low").alias("b")).filter("a < b").select("doc_id", "a")
+    own = cut_lineage(spread_join(signed.select("doc_id", *identity), classes.select(*identity, F.col("doc_id").alias("low")), identity, "left"))
+    split = own.filter("doc_id is not null and low is not null").groupBy("doc_id").agg(F.min("low").alias("a"), F.max("low").alias("b")).filter("a < b").select("doc_id", "a")
     links = own.join(split, "doc_id").filter("low != a").select("a", F.col("low").alias("b"))
-    first = led.groupBy("high").agg(F.min_by("low", F.struct("ones", "low")).alias("low"))
-    links = cut_lineage(links.unionByName(verified(first, texts)))
+    first = cut_lineage(led.groupBy("high").agg(F.min_by("low", F.struct(-F.col("met"), "low")).alias("low")))
+    links = cut_lineage(links.unionByName(verified(cut_lineage(alike(first, classes)), texts)))
     roots = components(links)
-    others = cut_lineage(apart(led.select("high", "low"), roots))
-    for more in (lambda: verified(others, texts), lambda: open_links(shared, roots, classes, texts)):
+    others = cut_lineage(apart(led, roots))
+    for more in (lambda: verified(cut_lineage(alike(others, classes)), texts), lambda: open_links(shared, roots, classes, texts)):
         late = cut_lineage(more())
         if not late.isEmpty():
             links = links.unionByName(late)
             roots = components(links)
-    out = signed.join(classes.select(*identity, F.col("doc_id").alias("low")), identity, "left")
-    out = out.join(roots.withColumnRenamed("node", "low"), "low", "left")
+    out = spread_join(own, roots.select(F.col("node").alias("low"), "root"), ["low"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "low", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -302,5 +306,6 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows that share a doc_id, all stay if their document does.
     """
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(gone, F.col("row.doc_id").cast("long") == F.col("gone_id"), "left_anti").select("row.*")
