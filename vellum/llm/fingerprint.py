@@ -4,7 +4,8 @@ A text is the multiset of its paragraphs: lines, cut further after sentence ends
 ones left out. Each paragraph's keyed hash gives LANES signs and WIDE full-range 64-bit values; a
 fingerprint is their sums modulo 2^32 and 2^64. Sums don't depend on order, and adding or taking
 away a paragraph adds or takes away its vector, so fingerprints are kept up to date without the
-text. Equal multisets have equal fingerprints; different ones differ but with probability 2^-128.
+text. Equal multisets have equal fingerprints; different ones differ but with a probability below
+2^-128, unless paragraphs are chosen by someone who knows the key.
 
 The signs also estimate likeness: the mean square of two fingerprints' lane differences is the size
 of the multisets' difference, which over the sum of the two sizes (their mean squares) and from 1
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-LANES, WIDE = 128, 4
+LANES, WIDE = 256, 4
 _SIGNS, _WORDS = LANES // 8, 8 * WIDE
 BYTES = 4 * LANES + _WORDS
 KEY = b"paragraph multiset 1"
