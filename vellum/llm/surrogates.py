@@ -2,18 +2,23 @@
 
 E-mail and IP addresses, phone, payment card and account numbers and names after a title are found
 in whole texts. Every distinct entity gets a replacement derived from a key: digits become digits
-and letters letters of the same case, in the same layout; addresses lie in reserved domains; cards
-pass the check-digit test if the original does; names keep gender (from the title), script and
+and letters letters of the same case, in the same layout; mail addresses lie in reserved domains;
+private and loopback IPv4 addresses stay in their range, others go to the reserved 240.0.0.0/4, IPv6
+ones to the documentation range 2001:db8::/32; cards and account numbers pass their check if the
+original does; names keep gender (from the title), script (Latin, Cyrillic, Greek or Armenian) and
 case. The same entity gets the same replacement everywhere (a name's words one by one, so 'Ms Ann
 Lee' and 'Ms Lee' stay one person), and different entities of a kind get different ones:
-replacements that collide, or equal an entity of the input, are derived anew until none does.
+replacements that collide, or equal an entity of the input, are derived anew until none does. Names
+and mail addresses grow with each attempt, numbers after TIGHT of them, so there is room for any
+number of entities.
 
 A person is a first and a last word after a title; if titles tell a gender anywhere, it holds for
 all the person's mentions (that of women, if titles differ). A document's name words are replaced
 wherever they recur in it capitalised or in capitals, with or without a title.
 
-Texts without entities are passed on in place; only the others' parts and the table of distinct
-entities are shuffled.
+Texts are searched once, into a table of parts; those without entities are passed on from there,
+only the others' parts and the table of distinct entities are shuffled, and an entity that very many
+texts hold is joined in several tasks.
 
 Defined cases: null texts stay null, empty ones empty; rows that share a doc_id or repeat are each
 rewritten; an empty table gives an empty result; all other columns are kept as they are. Positions
@@ -25,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, spread_join
 
 KEY = "surrogates 1"
 #: Titles by gender (m, f, or n where they don't tell).
@@ -65,9 +70,22 @@ PATTERNS = {
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every text with an entity passes.
 _HINT = rf"[@\d]|(?:{_TITLE})\.?\x20\p{{Lu}}"
-_SYLLABLES = {"latin": ("ba", "be", "da", "do", "fa", "ga", "ka", "la", "le", "li", "lo", "ma", "mi", "na", "ne", "no", "ra", "re", "ri", "ro", "sa", "se", "ta", "ti", "to", "va", "ve", "vi", "za", "zo", "ru", "lu"), "cyrillic": ("ба", "бе", "ва", "ве", "га", "да", "де", "до", "жа", "за", "ка", "ко", "ла", "ле", "ли", "ло", "ма", "ми", "мо", "на", "не", "но", "ра", "ри", "ро", "са", "се", "та", "ти", "то", "ру", "лу")}
-_ENDINGS = {"latin": {"m": "n", "f": "a", "n": "is", "s": "ner"}, "cyrillic": {"m": "н", "f": "а", "n": "ий", "s": "ко"}}
-ROUNDS = 64
+_SYLLABLES = {
+    "latin": "ba be da do fa ga ka la le li lo ma mi na ne no ra re ri ro sa se ta ti to va ve vi za zo ru lu".split(),
+    "cyrillic": "ба бе ва ве га да де до жа за ка ко ла ле ли ло ма ми мо на не но ра ри ро са се та ти то ру лу".split(),
+    "greek": "βα βε γα γε δα δε δο ζα θα θε κα κο λα λε λι λο μα με μι μο να νε νο ρα ρι ρο σα σε τα τι φα χα".split(),
+    "armenian": "բա բե գա գե դա դե զա թա լա լե լի լո կա կո հա մա մե մի նա նե նո պա ռա սա սե վա տա տի րա րե րո փա".split(),
+}
+#: How a word ends by its part in a name: given names of men, women and others, and last names.
+_ENDINGS = {
+    "latin": {"m": "n", "f": "a", "n": "is", "s": "ner"},
+    "cyrillic": {"m": "н", "f": "а", "n": "ий", "s": "ко"},
+    "greek": {"m": "ος", "f": "α", "n": "ις", "s": "άκης"},
+    "armenian": {"m": "ն", "f": "ա", "n": "իկ", "s": "յան"},
+}
+_SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "armenian": r"\p{IsArmenian}"}
+#: Attempts after which replacements of numbers grow, and IPv4 addresses become IPv6 ones.
+TIGHT = 12
 
 
 def _hash(*parts: Column) -> Column:
@@ -117,16 +135,51 @@ def _card(entity: Column, shaped: Column) -> Column:
     return F.concat(head, need.cast("string"))
 
 
-def _syllables(h: Column, script: str, part: Column) -> Column:
+def _mod97(code: Column) -> Column:
+    """The remainder of an account number's check: letters count as 10 to 35."""
+
+    def step(sum_: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (sum_ * 10 + c.cast("int")) % 97).otherwise((sum_ * 100 + F.ascii(F.upper(c)) - 55) % 97)
+
+    return F.aggregate(F.filter(F.split(code, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def _iban(entity: Column, shaped: Column) -> Column:
+    """An account number whose check digits make the test come out as the original's."""
+    dense, made = F.regexp_replace(entity, " ", ""), F.regexp_replace(shaped, " ", "")
+    country = F.substring(entity, 1, 2)
+    off = _mod97(F.concat(F.expr("substring(replace(entity, ' ', ''), 5)"), F.substring(dense, 1, 4)))
+    rest = _mod97(F.concat(F.substring(made, F.lit(5), F.length(made)), country, F.lit("00")))
+    check = (off - rest + 97) % 97
+    return F.concat(country, F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), F.substring(shaped, F.lit(5), F.length(shaped)))
+
+
+def _ip(entity: Column, h: Column, attempt: Column) -> Column:
+    octet = [(_number(h, 1 + 4 * i) % 254 + 1).cast("string") for i in range(4)]
+    inner = [
+        (r"^10\.", F.lit("10"), octet[1]),
+        (r"^127\.", F.lit("127"), octet[1]),
+        (r"^192\.168\.", F.lit("192"), F.lit("168")),
+        (r"^172\.(1[6-9]|2\d|3[01])\.", F.lit("172"), (_number(h, 5) % 16 + 16).cast("string")),
+        (r"^169\.254\.", F.lit("169"), F.lit("254")),
+    ]
+    made = F.coalesce(*[F.when(entity.rlike(p), F.concat_ws(".", a, b, *octet[2:])) for p, a, b in inner], F.concat_ws(".", (_number(h, 1) % 15 + 240).cast("string"), *octet[1:]))
+    six = F.concat_ws(":", F.lit("2001:db8"), *[F.substring(h, 1 + 4 * i, 4) for i in range(6)])
+    return F.when(F.contains(entity, F.lit(":")) | (attempt >= TIGHT), six).otherwise(made)
+
+
+def _syllables(h: Column, script: str, part: Column, attempt: Column) -> Column:
     some = F.array(*map(F.lit, _SYLLABLES[script]))
-    body = F.concat(*[F.element_at(some, (_number(h, 1 + 4 * i) % len(_SYLLABLES[script]) + 1).cast("int")) for i in range(3)])
-    longer = F.concat(body, F.when(_number(h, 20) % 2 == 0, F.element_at(some, (_number(h, 24) % len(_SYLLABLES[script]) + 1).cast("int"))).otherwise(F.lit("")))
+    pick = lambda n: F.element_at(some, (n % len(_SYLLABLES[script]) + 1).cast("int"))
+    body = F.concat(*[pick(_number(h, 1 + 4 * i)) for i in range(3)], F.when(_number(h, 20) % 2 == 0, pick(_number(h, 24))).otherwise(F.lit("")))
+    more = F.transform(F.sequence(F.lit(1), attempt), lambda i: pick(_number(F.sha2(F.concat(h, i.cast("string")), 256), 1)))
+    longer = F.when(attempt > 0, F.concat(body, F.array_join(more, ""))).otherwise(body)
     ending = F.coalesce(*[F.when(part == k, F.lit(v)) for k, v in _ENDINGS[script].items()])
     return F.initcap(F.concat(longer, ending))
 
 
-def _word(entity: Column, h: Column, part: Column) -> Column:
-    made = F.when(entity.rlike(r"\p{IsCyrillic}"), _syllables(h, "cyrillic", part)).otherwise(_syllables(h, "latin", part))
+def _word(entity: Column, h: Column, part: Column, attempt: Column) -> Column:
+    made = F.coalesce(*[F.when(entity.rlike(p), _syllables(h, script, part, attempt)) for script, p in _SCRIPTS.items()], _syllables(h, "latin", part, attempt))
     return F.when((F.length(entity) > 1) & (F.upper(entity) == entity), F.upper(made)).otherwise(made)
 
 
@@ -134,17 +187,18 @@ def _derive(entities: DataFrame, key: str) -> DataFrame:
     """Adds `surrogate` to (kind, entity, attempt)."""
     h = _hash(F.lit(key), F.col("kind"), F.lower("entity"), F.col("attempt").cast("string"))
     kept = F.when(F.col("kind") == "card", 1).when(F.col("kind") == "iban", 2).when(F.col("kind") == "phone", F.length(F.regexp_extract("entity", r"^\+\d{1,3}(?=\D)", 0))).otherwise(0)
+    attempt, hexa = F.col("attempt"), F.col("h")
+    grown = F.concat(F.col("shaped"), F.when(attempt >= TIGHT, F.concat(F.lit("-"), _number(hexa, 1, 7).cast("string"))).otherwise(F.lit("")))
     rows = entities.withColumn("h", h).withColumn("shaped", _shaped(F.when(F.col("kind") == "email", F.substring_index("entity", "@", 1)).otherwise(F.col("entity")), F.col("h"), kept))
-    hexa = F.col("h")
+    rows = rows.withColumn("shaped", F.when(F.col("kind") == "email", F.concat("shaped", F.when(attempt > 0, F.substring(hexa, 30, 6)).otherwise(F.lit("")))).otherwise(grown))
     domain = F.concat(F.lit("@mail"), F.conv(F.substring(hexa, 1, 5), 16, 10), F.lit(".example"))
-    ip = F.concat_ws(".", *[(_number(hexa, 1 + 4 * i) % 254 + 1).cast("string") for i in range(4)])
-    ip = F.when(F.col("entity").contains(":"), F.concat_ws(":", F.lit("2001:db8"), *[F.substring(hexa, 1 + 4 * i, 4) for i in range(6)])).otherwise(ip)
     part = F.regexp_extract("kind", r"name_(.)", 1)
     surrogate = (
         F.when(F.col("kind") == "email", F.concat("shaped", domain))
-        .when(F.col("kind") == "ip", ip)
+        .when(F.col("kind") == "ip", _ip(F.col("entity"), hexa, attempt))
         .when(F.col("kind") == "card", _card(F.col("entity"), F.col("shaped")))
-        .when(F.col("kind").startswith("name_"), _word(F.col("entity"), hexa, part))
+        .when(F.col("kind") == "iban", _iban(F.col("entity"), F.col("shaped")))
+        .when(F.col("kind").startswith("name_"), _word(F.col("entity"), hexa, part, attempt))
         .otherwise(F.col("shaped"))
     )
     return rows.withColumn("surrogate", surrogate).drop("h", "shaped")
@@ -157,7 +211,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     """
     rows = cut_lineage(_derive(entities.select("kind", "entity").distinct().withColumn("attempt", F.lit(0)), key))
     taken = rows.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-    for _ in range(ROUNDS):
+    while True:
         first = rows.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"))
         judged = rows.join(first, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left").withColumn("lost", F.col("real").isNotNull() | (F.col("first.entity") != F.col("entity")))
         lost = cut_lineage(judged.select("kind", "entity", "attempt", "surrogate", "lost"))
@@ -165,7 +219,6 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
             return rows.select("kind", "entity", "surrogate")
         anew = _derive(lost.filter("lost").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), key).select("kind", "entity", "attempt", "surrogate")
         rows = cut_lineage(lost.filter("not lost").select("kind", "entity", "attempt", "surrogate").unionByName(anew))
-    raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
 def _units(kind: Column, entity: Column) -> Column:
@@ -236,12 +289,15 @@ def replace_personal(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     kept = [c for c in docs.columns if c not in ("text", "entities")]
     listed = "array<struct<kind:string,start:bigint,end:bigint,surrogate:string>>"
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("kept"), F.col("text").cast("string").alias("text"))
-    found = F.col("text").rlike(_HINT) & F.col("text").rlike(_ANY)
-    clean = rows.filter(~F.coalesce(found, F.lit(False))).select("kept", "text", F.array().cast(listed).alias("entities"))
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in kept)).alias("kept"), F.col("text").cast("string").alias("text"))
     zipped = F.arrays_zip(F.split("text", _ANY, -1).alias("gap"), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)).alias("entity"))
-    parts = rows.filter(found).withColumn("row", F.monotonically_increasing_id()).select("row", "kept", F.posexplode(zipped).alias("i", "part"))
-    parts = cut_lineage(parts.select("row", F.when(F.col("i") == 0, F.col("kept")).alias("kept"), "i", F.col("part.gap").alias("gap"), F.col("part.entity").alias("found"), F.when(F.col("part.entity").isNotNull(), _kind(F.col("part.entity"))).alias("found_kind")))
+    named = F.transform(zipped, lambda p: F.struct(p["gap"].alias("gap"), p["entity"].alias("found"), F.when(p["entity"].isNotNull(), _kind(p["entity"])).alias("found_kind")))
+    # all texts are searched here and nowhere else
+    cut = rows.select("kept", "text", F.when(F.col("text").rlike(_HINT), named).alias("parts"))
+    cut = cut_lineage(cut.select(F.monotonically_increasing_id().alias("row"), "kept", F.when(F.coalesce(F.size("parts"), F.lit(0)) < 2, F.col("text")).alias("text"), F.when(F.size("parts") > 1, F.col("parts")).alias("parts")))
+    clean = cut.filter("parts is null").select("kept", "text", F.array().cast(listed).alias("entities"))
+    parts = cut.filter("parts is not null").select("row", "kept", F.posexplode("parts").alias("i", "part"))
+    parts = cut_lineage(parts.select("row", F.when(F.col("i") == 0, F.col("kept")).alias("kept"), "i", "part.*"))
     words = cut_lineage(_name_words(_all_units(parts.filter("found_kind = 'name'"), "found")))
     parts = cut_lineage(_with_mentions(parts, words))
     word = words.select(F.col("row").alias("word_row"), "word", "word_kind")
@@ -250,7 +306,7 @@ def replace_personal(docs: DataFrame, key: str = KEY) -> DataFrame:
     columns = ("row", "i", "j", "kind", "entity", "tail")
     units = cut_lineage(every.filter("kind <> 'again' and kind not like 'name\\_%'").select(*columns).unionByName(named.select(*columns)))
     table = assign(units.filter("kind != 'title'"), key)
-    said = units.join(table, ["kind", "entity"], "left").groupBy("row", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", F.concat(F.coalesce("surrogate", "entity"), F.col("tail")).alias("s")))), lambda x: x["s"]), " ").alias("surrogate"))
+    said = spread_join(units, table, ["kind", "entity"], "left").groupBy("row", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", F.concat(F.coalesce("surrogate", "entity"), F.col("tail")).alias("s")))), lambda x: x["s"]), " ").alias("surrogate"))
     whole = parts.join(said, ["row", "i"], "left").groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), F.array_sort(F.collect_list(F.struct("i", "gap", "found", "found_kind", "surrogate"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["gap"], F.coalesce(p["surrogate"], F.lit("")))), "")
     spans = F.aggregate(
