@@ -1,18 +1,23 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as a learned vector of its own (hashed) beside the mean of the vectors of its three-
-and four-byte pieces (hashed), so unseen inflections of a known stem are recognised. Two gated
-recurrent layers read each window forwards and backwards, attention weighs their states, and a
-document's score is that of its highest window: windows of WINDOW words at every STRIDE words of the
-whole text are scored, so any WINDOW - STRIDE + 1 words in a row lie whole in one. Training follows the same rule, with gradients through each document's highest window.
+A word enters as a learned vector of its own beside the mean of the learned vectors of those of its pieces that have one:
+all runs of three to LONGEST characters (bytes of UTF-8, with a mark at either end of the word), so
+unseen inflections of a known stem are recognised. Words and pieces of fewer than SEEN training
+documents have no vector. Two gated recurrent layers read each window forwards and backwards,
+attention weighs their states, and a document's score is that of its highest window: windows of
+WINDOW words at every STRIDE words of the whole text are scored, so any WINDOW - STRIDE + 1 words in
+a row lie whole in one. Training begins with windows drawn at random from both classes and goes on
+with gradients through each document's highest window.
 
 Only words are inputs. Labels are learned from at most POSITIVES and NEGATIVES labelled documents of
 at most MOST_CHARS characters, chosen by a hash of doc_id, never from held-out rows (crc32 of doc_id
 as text divisible by 5).
 
 Defined cases: a text without words has score 0; a null doc_id counts as the empty text (held out);
+each row of a repeated doc_id is scored by its own text, and the least of such texts is learned from;
 conflicting labels of one doc_id count as toxic; without both labels to learn from, every score is
-the share of toxic ones among them (0 without any).
+the share of toxic ones among them (0 without any); an empty table gives an empty result; `keep_clean`
+keeps all columns and null texts.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -32,8 +37,10 @@ from .shingles import U64, hash_words, mix, word_places
 
 POSITIVES, NEGATIVES, MOST_CHARS = 1200, 2400, 12_000
 WINDOW, STRIDE, BLOCK = 32, 8, 2048
-WORDS, PIECES, EACH, HIDDEN, LOOK = 1 << 14, 1 << 14, 8, 8, 8
-EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 6, 250, 128, 0.01, 7
+WORDS, PIECES, LONGEST, EACH, HIDDEN, LOOK = 1 << 17, 1 << 18, 6, 8, 8, 8
+#: Words and pieces of fewer training documents than this have no vector.
+SEEN = 3
+WARM, EPOCHS, TOP, BATCH, RATE, DECAY, SEED = 600, 6, 1, 128, 0.01, 0.02, 7
 #: Share of words that a batch knows by their pieces only.
 HIDE = 0.3
 #: Bytes in no word: ASCII but for letters and digits.
@@ -60,23 +67,26 @@ def read_words(texts: pa.Array) -> Words:
     codes, distinct = pd.factorize(hashes)
     first = np.zeros(len(distinct), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
-    ids = (distinct >> U64(50)).astype(np.int64) % WORDS
+    ids = (distinct >> U64(44)).astype(np.int64) % WORDS
     if not len(distinct):
         return Words(ids, np.zeros(0, np.int64), np.zeros(0, np.int64), codes, at)
     sizes = np.add.reduceat(~_GAPS[data], starts, dtype=np.int64)[first]  # only gaps follow a word up to the next
     begins = np.cumsum(sizes + 2) - (sizes + 2)
-    letters = np.zeros(int((sizes + 2).sum()) + 3, U64)
+    letters = np.zeros(int((sizes + 2).sum()) + LONGEST, U64)
     inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     letters[np.repeat(begins + 1, sizes) + inner] = _LOWER[data[np.repeat(starts[first], sizes) + inner]]
-    three = letters[:-3] + (letters[1:-2] << U64(8)) + (letters[2:-1] << U64(16))
-    four = three + (letters[3:] << U64(24)) + U64(1 << 40)
-    # each word has as many places for three bytes as bytes, and one less for four
-    n = sizes + np.maximum(sizes - 1, 0)
-    piece_begins = np.cumsum(n) - n
-    which = np.arange(int(n.sum())) - np.repeat(piece_begins, n)
-    size, head = np.repeat(sizes, n), np.repeat(begins, n)
-    found = np.where(which < size, three[head + np.minimum(which, size - 1)], four[head + np.maximum(which - size, 0)])
-    return Words(ids, (mix(found) >> U64(50)).astype(np.int64) % PIECES, piece_begins, codes, at)
+    # a word between two marks has as many places for three bytes as bytes, and one less for each byte more
+    codes_of, of = [], []
+    code = letters[: len(letters) - LONGEST] + (letters[1 : len(letters) - LONGEST + 1] << U64(8))
+    for k in range(3, LONGEST + 1):
+        code = code + (letters[k - 1 : len(letters) - LONGEST + k - 1] << U64(8 * (k - 1)))
+        n = np.maximum(sizes + 3 - k, 0)
+        which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        codes_of.append(mix(code[np.repeat(begins, n) + which] + (U64(k) << U64(56))))
+        of.append(np.repeat(np.arange(len(sizes)), n))
+    order = np.argsort(np.concatenate(of), kind="stable")
+    n = sum(np.maximum(sizes + 3 - k, 0) for k in range(3, LONGEST + 1))
+    return Words(ids, (np.concatenate(codes_of)[order] >> U64(44)).astype(np.int64) % PIECES, np.cumsum(n) - n, codes, at)
 
 
 def windows(n: int) -> np.ndarray:
@@ -106,15 +116,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def spread(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    """Sums of the rows of `values` that share an index."""
-    out = np.zeros((rows, values.shape[1]), np.float32)
+def gathered(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indexes, and the sums of the rows of `values` that share one."""
     order = np.argsort(index, kind="stable")
     index = index[order]
     begins = np.flatnonzero(np.append(True, index[1:] != index[:-1]))[: len(index)]
-    if len(begins):
-        out[index[begins]] = np.add.reduceat(values[order], begins, axis=0)
-    return out
+    return index[begins], np.add.reduceat(values[order], begins, axis=0) if len(begins) else values[:0]
 
 
 class Network:
@@ -122,6 +129,7 @@ class Network:
 
     def __init__(self, seed: int = SEED) -> None:
         draw = np.random.default_rng(seed)
+        self.known = {"word": np.ones(WORDS, bool), "piece": np.ones(PIECES, bool)}
 
         def some(*shape: int, scale: float) -> np.ndarray:
             return (draw.standard_normal(shape) * scale).astype(np.float32)
@@ -131,12 +139,31 @@ class Network:
         for way in "fb":
             self.w |= {f"in_{way}": some(2 * EACH, g, scale=0.3), f"back_{way}": some(HIDDEN, g, scale=0.3), f"gate_{way}": np.zeros(g, np.float32)}
 
+    def forget(self, words: Words, docs: int) -> None:
+        """Takes the vectors of what occurs in fewer than SEEN documents away: it could only be learned by heart."""
+        word, piece = np.zeros(WORDS, np.int32), np.zeros(PIECES, np.int32)
+        ends = np.append(words.begins, len(words.pieces))
+        for doc in range(docs):
+            own = np.unique(words.codes[words.at[doc] : words.at[doc + 1]])
+            word[np.unique(words.ids[own])] += 1
+            counts = np.diff(ends)[own]
+            which = np.repeat(ends[own] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+            seen = np.zeros(PIECES, bool)
+            seen[words.pieces[which]] = True
+            piece += seen
+        self.known = {"word": word >= SEEN, "piece": piece >= SEEN}
+        for name, known in self.known.items():
+            self.w[name][~known] = 0
+
+    def shares(self, words: Words) -> np.ndarray:
+        """How many pieces with a vector each word has, 1 at least."""
+        return np.maximum(np.add.reduceat(self.known["piece"][words.pieces], words.begins, dtype=np.int64), 1)
+
     def inputs(self, words: Words) -> np.ndarray:
         """A row for each distinct word."""
         if not len(words.ids):
             return np.zeros((0, 2 * EACH), np.float32)
-        counts = np.diff(np.append(words.begins, len(words.pieces)))
-        pieces = np.add.reduceat(self.w["piece"][words.pieces], words.begins, axis=0) / counts[:, None]
+        pieces = np.add.reduceat(self.w["piece"][words.pieces], words.begins, axis=0) / self.shares(words)[:, None]
         return np.concatenate([self.w["word"][words.ids], pieces.astype(np.float32)], axis=1)
 
     def gates(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
@@ -216,52 +243,75 @@ class Network:
         return out
 
 
+class Trainer:
+    """Adam on the cross entropy of windows; of the vectors' tables only the rows that a batch holds are changed."""
+
+    def __init__(self, net: Network, words: Words, codes: np.ndarray, draw: np.random.Generator) -> None:
+        self.net, self.words, self.codes, self.draw, self.steps = net, words, codes, draw, 0
+        self.ends = np.append(words.begins, len(words.pieces))
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
+
+    def change(self, name: str, rows: np.ndarray | slice, g: np.ndarray) -> None:
+        m, v = (x[rows] for x in self.moments[name])
+        w = self.net.w[name]
+        m = m + 0.1 * (g - m)
+        v = v + 0.001 * (g * g - v)
+        self.moments[name][0][rows], self.moments[name][1][rows] = m, v
+        w[rows] -= RATE * (m / (1 - 0.9**self.steps) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8) + (DECAY * w[rows] if name in self.net.known else 0))
+
+    def step(self, some: np.ndarray, label: np.ndarray) -> None:
+        net, words = self.net, self.words
+        held, own = np.unique(self.codes[some], return_inverse=True)
+        own = own.reshape(len(some), WINDOW)
+        pad = int(held[0] < 0)
+        held, own = held[pad:], own - pad
+        counts = np.diff(self.ends)[held]
+        which = np.repeat(words.begins[held] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        part = Words(words.ids[held], words.pieces[which], np.cumsum(counts) - counts, own, np.zeros(0))
+        inputs = net.inputs(part)
+        seen = (self.draw.random((len(held), 1)) >= HIDE).astype(np.float32)
+        inputs[:, :EACH] *= seen
+        logits, kept = net.forward(net.gates(inputs), own, keep=True)
+        slope = ((_sigmoid(logits) - label) / len(some)).astype(np.float32)
+        padded = np.concatenate([inputs, np.zeros((1, 2 * EACH), np.float32)])
+        grad, d_inputs = net.backward(kept, slope, padded, own)
+        rows, d_word = gathered(np.where(own < 0, len(held), own).T.ravel(), d_inputs.reshape(-1, 2 * EACH))
+        whole = np.zeros((len(held) + 1, 2 * EACH), np.float32)
+        whole[rows] = d_word
+        d_word = whole[:-1]
+        self.steps += 1
+        for k, g in grad.items():
+            self.change(k, slice(None), g)
+        for name, index, g in (("word", part.ids, d_word[:, :EACH] * seen), ("piece", part.pieces, np.repeat(d_word[:, EACH:] / net.shares(part)[:, None], counts, axis=0))):
+            rows, sums = gathered(index, g)
+            known = net.known[name][rows]
+            self.change(name, rows[known], sums[known])
+
+
 def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Adam on the cross entropy of each document's highest window."""
+    """First WARM batches of windows drawn from both classes alike, then epochs over each document's highest windows."""
     net, draw = Network(seed), np.random.default_rng(seed)
     words = read_words(pa.array(texts, pa.string()))
+    net.forget(words, len(texts))
     codes, of = window_codes(words, range(len(texts)))
     label = np.array(toxic, np.float32)
-    pieces_of = np.append(words.begins, len(words.pieces))
-    epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(texts))))
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
-    step = 0
-    for epoch in range(epochs):
+    trainer = Trainer(net, words, codes, draw)
+    begins, counts = np.searchsorted(of, np.arange(len(texts))), np.bincount(of, minlength=len(texts))
+    classes = [np.flatnonzero((label == y) & (counts > 0)) for y in (0, 1)]
+    if not all(len(c) for c in classes):
+        return net
+    for _ in range(WARM):
+        docs = np.concatenate([draw.choice(c, BATCH // 2) for c in classes])
+        trainer.step(begins[docs] + (draw.random(BATCH) * counts[docs]).astype(np.int64), label[docs])
+    for _ in range(epochs):
         gates = net.gates(net.inputs(words))
         top = np.concatenate([net.forward(gates, codes[a : a + BLOCK])[0] for a in range(0, len(codes), BLOCK)])
-        if epoch == 0:  # nothing is known yet: any window
-            top = draw.random(len(codes))
         order = np.lexsort((top, of))
-        chosen = order[np.append(of[order][1:] != of[order][:-1], True)]
-        if epoch == 0:  # some more of toxic documents
-            others = np.flatnonzero(label[of] > 0)
-            chosen = np.concatenate([chosen, draw.permutation(others)[: 2 * int(label.sum())]])
-        chosen = draw.permutation(chosen)
+        place = np.arange(len(order)) - begins[of[order]]
+        chosen = draw.permutation(order[place >= counts[of[order]] - TOP])
         for a in range(0, len(chosen), BATCH):
             some = chosen[a : a + BATCH]
-            held, own = np.unique(codes[some], return_inverse=True)
-            own = own.reshape(len(some), WINDOW)
-            pad = int(held[0] < 0)
-            held, own = held[pad:], own - pad
-            counts = np.diff(pieces_of)[held]
-            which = np.repeat(words.begins[held] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-            part = Words(words.ids[held], words.pieces[which], np.cumsum(counts) - counts, own, np.zeros(0))
-            inputs = net.inputs(part)
-            seen = (draw.random((len(held), 1)) >= HIDE).astype(np.float32)
-            inputs[:, :EACH] *= seen
-            logits, kept = net.forward(net.gates(inputs), own, keep=True)
-            slope = ((_sigmoid(logits) - label[of[some]]) / len(some)).astype(np.float32)
-            padded = np.concatenate([inputs, np.zeros((1, 2 * EACH), np.float32)])
-            grad, d_inputs = net.backward(kept, slope, padded, own)
-            d_word = spread(np.where(own < 0, len(held), own).T.ravel(), d_inputs.reshape(-1, 2 * EACH), len(held) + 1)[:-1]
-            grad["word"] = spread(part.ids, d_word[:, :EACH] * seen, WORDS)
-            grad["piece"] = spread(part.pieces, np.repeat(d_word[:, EACH:] / counts[:, None], counts, axis=0), PIECES)
-            step += 1
-            for k, g in grad.items():
-                m, v = moments[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                net.w[k] -= (RATE / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            trainer.step(some, label[of[some]])
     return net
 
 
@@ -276,9 +326,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, most_chars))
     # more ids than needed, as some have no text of such a length
     some = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n) for t, n in ((1, positives), (0, negatives))]
-    found = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").dropDuplicates(["doc_id"])
-    rows = [found.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, positives), (0, negatives))]
-    return rows[0].unionByName(rows[1]).select("doc_id", "text", "toxic")
+    # one pass over the texts; of texts that share an id the least
+    found = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("toxic") == 1, positives).otherwise(negatives)).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Network | float:
