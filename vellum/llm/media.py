@@ -19,9 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Boxes that hold boxes (fixed values of ISO/IEC 14496-12).
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
 FRAME, CHUNK_FRAMES, SYNC_EVERY, RATE = 64, 256, 64, 8000
@@ -232,19 +235,19 @@ STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def text_media(docs: DataFrame) -> DataFrame:
     """Stores every whole text (null: empty) as samples, reads the file back and describes it."""
 
-    def through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch, "text")):
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in part.column("text").to_pylist():
                 raw = (text or "").encode()
                 media = store_payload(raw.ljust(max(FRAME, -(-len(raw) // FRAME) * FRAME), b"\0"))
                 tracks, error = read_media(media)
                 if error:
                     raise BadMedia(error)
                 back = read_payload(media, tracks[0])
-                rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), feature(tracks[0])))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in STORED.split(", ")])
-            out["doc_id"] = batch["doc_id"].to_numpy() if batch["doc_id"].notna().all() else pd.array(batch["doc_id"], "Int64")
-            yield out
+                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), feature(tracks[0])))
+            names, kinds = zip(*(c.split() for c in STORED.split(", ")), strict=True)
+            columns = [pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], list(names))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(through, STORED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(through, STORED)
