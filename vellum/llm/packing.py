@@ -4,7 +4,7 @@ Texts become pieces of at most `capacity` tokens. The plan sees only how many pi
 length (at most `capacity` counts, whatever the size of the corpus) and repeats a best-fit
 sequence as often as the counts allow. Pieces then take planned slots by joining on their rank
 within their length. The rank is split over buckets, so that a length that a third of all pieces
-share is spread over many tasks.
+share is spread over many tasks, equal rows as well.
 
 Defined cases: a null or empty text is one piece, the end token alone; an empty table gives an
 empty result; rows that share a doc_id (or have none) are packed each for itself.
@@ -178,7 +178,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Gives each piece of `cut` its sequence_id and offset.
+    """Gives each piece of `cut`, a table with a number `deal` of its own for every row, its sequence_id and offset.
 
     Only the histogram (at most `capacity` rows) reaches the driver, and only the plan, bounded by
     the capacity too, is broadcast.
@@ -187,7 +187,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = spark.createDataFrame(plan(counts, capacity), "slot_length long, first long, ranks long, first_sequence long, per_sequence long, at long")
     buckets = spark.createDataFrame([(n, -(-k // RANKED_TOGETHER)) for n, k in counts.items()], "length long, buckets long")
-    dealt = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
+    dealt = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("deal"), F.col("buckets"))).drop("buckets", "deal")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
@@ -203,4 +203,5 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Tokenizes and packs `docs` (doc_id, text; other columns are ignored)."""
-    return pack(cut_lineage(pieces(docs, tokenizer, capacity, end)), capacity)
+    cut = pieces(docs, tokenizer, capacity, end).withColumn("deal", F.monotonically_increasing_id())  # written, so it stays what it is
+    return pack(cut_lineage(cut), capacity)
