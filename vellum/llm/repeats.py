@@ -1,178 +1,216 @@
-"""Substring dedup by hashing lines and the sentences in them.
-
-A unit is a whole line of any length, a sentence in it of at least LEAST words, or LEAST words of a
-longer sentence: those whose hash is the least of a window of WINDOW such places, so any run of
-WINDOW + LEAST - 1 words without a sentence's end has the same ones wherever it stands. Units are
-normalised (lower case, single spaces), and equal digests anywhere in the corpus are one group: the
-occurrence in the first document, at its first offset, stays; all others go. In scripts without
-spaces every character is a word.
-
-A unit that goes is lengthened to both sides word by word, by up to REACH words, as far as the text
-around it equals the text around the occurrence that stays, so a passage goes whole wherever it
-begins. Every word that goes equals an earlier one.
-
-Digests are counted with partial sums, and only rows of digests that recur are joined to their
-first occurrence, so a line that a third of all documents hold is never gathered in one task. Texts
-are dealt by doc_id once more to look at the words around such units; texts aren't joined to texts.
-
-Defined cases: null and empty texts have no units and stay as they are; a repeat within one text
-goes as well; rows that share a doc_id compare by offset and count as repeats of each other; rows
-without a doc_id rank last; an empty table gives an empty result. Offsets are code points of the
-original text, ends exclusive.
+"""Substring dedup by hashing whole lines, and word runs inside them.
+
+Units are normalised (lower case, single spaces) and hashed. Every line that isn't blank is a unit,
+however short or long; so are runs of RUN words, in the text's words without regard to line ends,
+whose hash is the least of WINDOW neighbouring ones, so any RUN + WINDOW - 1 equal words have such a
+run in common wherever they stand. In scripts without spaces every character is a word.
+
+Digests are grouped over the whole corpus: the occurrence in the first document, at its first word,
+stays, all others go. A run that goes and isn't part of a line that goes is lengthened word by word,
+by up to REACH words a side, as far as the text around it equals the text around the occurrence that
+stays; runs stand so close that a passage goes whole, wherever it begins. Units of a document that
+touch make one passage, and passages of at least `least_words` words go: 1 takes out every repeated
+line, PASSAGE leaves short lines that recur by custom (mottoes, licence lines) where they are.
+Every word that goes equals an earlier one.
+
+Digests are counted with partial sums, rows of digests that recur are joined to their first
+occurrence with hot digests dealt over tasks, and texts are read again, in place if their ids are
+few, only for runs that must be lengthened. Texts aren't joined to texts.
+
+Defined cases: null, empty and blank texts have no units and stay as they are; a repeat within one
+text goes as well; equal rows of one doc_id are one document stored twice and no repeats of each
+other; different texts of one doc_id each have their own units, ranked by the text's hash; rows
+without a doc_id rank last; an empty table gives an empty result; of docs only doc_id and text are
+read. Offsets are code points of the original text, ends exclusive.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices
+from .common import cut_lineage, slices, spread_join
+from .shingles import U64, hash_words, mix, powers, raw_bytes, word_places
 
-LEAST, WINDOW, REACH = 6, 16, 32
-UNITS = "doc_id long, start long, end long, digest binary"
-_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"  # scripts without spaces
+RUN, WINDOW, REACH, PASSAGE = 8, 23, 32, 50
+#: Lists of ids up to so many are broadcast to find their texts in place; longer ones are joined by key.
+FEW_IDS = 500_000
+_ALONE = "฀-໿က-႟ក-៿⺀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"  # scripts without spaces
 _WORD = re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
-_FULL = re.compile("[^。！？]*[。！？]*")
-
-
-def _sentences(text: str) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, whether it is a whole line) of lines and, in lines of several, of their sentences."""
-    at = 0
-    for line in text.split("\n"):
-        cut = line
-        for mark in ".!?":
-            cut = cut.replace(f"{mark} ", f"{mark}\n")  # as long as before, so places stay
-        found, inner = [], at
-        for sentence in cut.split("\n"):
-            parts = _FULL.findall(sentence) if any(m in sentence for m in "。！？") else (sentence,)
-            for part in parts:
-                if body := part.strip():
-                    a = inner + len(part) - len(part.lstrip())
-                    found.append((a, a + len(body), False))
-                inner += len(part)
-            inner += 1
-        if found:
-            yield found[0][0], found[-1][1], True
-            if len(found) > 1:
-                yield from found
-        at += len(line) + 1
-
-
-def _hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.lower().encode()) for w in words), np.uint32, len(words))
-
-
-def _anchors(words: list[str]) -> list[int]:
-    """Where runs of LEAST words begin that are the least of some window."""
-    h = _hashes(words).astype(np.uint64)
-    g = np.zeros(len(h) - LEAST + 1, np.uint64)
-    for i in range(LEAST):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(g)]
-    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    g ^= g >> np.uint64(32)
-    least = np.unique(np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(axis=1) + np.arange(len(g) - WINDOW + 1)).tolist()
-    out: list[int] = []
-    for i in least:  # a text that repeats itself at once has the same run again and again
-        if not out or i - out[-1] >= LEAST or g[i] != g[out[-1]]:
-            out.append(i)
-    return out
-
-
-def _normal(part: str) -> str:
-    return " ".join(part.split()).lower()
-
-
-def _digest(unit: str) -> bytes:
-    return hashlib.blake2b(unit.encode(), digest_size=16).digest()
-
-
-def unit_spans(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised text) of a text's units, in order."""
-    found: dict[tuple[int, int], str] = {}
-    held: list[tuple[int, int]] = []
-    for a, b, line in _sentences(text):
-        held.append((a, b))
-        if line or b - a >= 2 * LEAST - 1 or not text[a:b].isascii():
-            part = text[a:b]
-            if line or len(part.split() if part.isascii() else _WORD.findall(part)) >= LEAST:
-                found[a, b] = _normal(part)
-    for i, (a, b) in enumerate(held):
-        if i + 1 < len(held) and held[i + 1][1] <= b:
-            continue  # a line whose sentences follow
-        if b - a < 2 * (WINDOW + LEAST) - 3 and text[a:b].isascii():
-            continue
-        words = list(_WORD.finditer(text, a, b))
-        if len(words) >= WINDOW + LEAST - 1:
-            for at in _anchors([w[0] for w in words]):
-                x, y = words[at].start(), words[at + LEAST - 1].end()
-                found[x, y] = _normal(text[x:y])
-    for (a, b), unit in sorted(found.items()):
-        yield a, b, unit
-
-
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end and digest of every unit of every whole text."""
+#: What plain byte work would cut otherwise: such scripts, and white space past the six ASCII characters.
+_SPECIAL = r"[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{2e80}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STEP, _STEP2 = U64(0xD1342543DE82EF95), U64(0xAF251AF3B0F025B5)
+LINES = "doc_id long, mark long, w0 int, w1 int, start int, end int, key long, check long"
+RUNS = "doc_id long, mark long, w0 int, key long"
+
+
+class Words:
+    """The words of some texts: hashes, code-point bounds, line numbers, and each text's first word."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        texts = pc.fill_null(texts, "")
+        lowered = pc.utf8_lower(texts)
+        special = pc.match_substring_regex(texts, _SPECIAL).to_numpy(zero_copy_only=False)
+        data, starts, at = word_places(texts)
+        low_data, low_starts, low_at = word_places(lowered)
+        if special.any() or (at != low_at).any():
+            self._one_by_one(texts)
+            return
+        self.at = at
+        self.hashes = hash_words(low_data, low_starts)
+        _, text_at = raw_bytes(texts)
+        points = np.cumsum((data & 0xC0) != 0x80) if len(data) else np.zeros(0, np.int64)  # code points up to and with each byte
+        before = np.append(0, points)[text_at[:-1]]
+        of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        self.starts = points[starts] - 1 - before[of] if len(starts) else np.zeros(0, np.int64)
+        gap = np.isin(data, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+        gap_at = np.append(np.flatnonzero(gap), len(data))
+        stops = np.minimum(gap_at[np.searchsorted(gap_at, starts)], text_at[1:][of]) if len(starts) else starts
+        self.ends = points[stops - 1] - before[of] if len(starts) else np.zeros(0, np.int64)
+        self.lines = np.searchsorted(np.flatnonzero(data == 10), starts)
+
+    def _one_by_one(self, texts: pa.Array) -> None:
+        words, starts, ends, lines, sizes = [], [], [], [], []
+        for text in texts.to_pylist():
+            found = list(_WORD.finditer(text))
+            breaks = np.array([i for i, c in enumerate(text) if c == "\n"], np.int64)
+            begins = np.array([m.start() for m in found], np.int64)
+            words += [m[0] for m in found]
+            starts.append(begins)
+            ends.append(np.array([m.end() for m in found], np.int64))
+            lines.append(np.searchsorted(breaks, begins))
+            sizes.append(len(found))
+        self.at = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        self.starts, self.ends, self.lines = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (starts, ends, lines))
+        # each word hashed as a text of its own, whatever is in it
+        data, at = raw_bytes(pc.utf8_lower(pa.array(words, pa.string())))
+        none = np.zeros(256, bool)
+        self.hashes = hash_words(data, at[:-1], none)
+
+    def line_units(self) -> tuple[np.ndarray, ...]:
+        """For each line with words: its text, first word, word after the last, and two hashes."""
+        n = len(self.hashes)
+        of = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        if not n:
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2
+        begins = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (self.lines[1:] != self.lines[:-1])))
+        stops = np.append(begins[1:], n)
+        within = np.arange(n) - np.repeat(begins, stops - begins)
+        longest = int((stops - begins).max())
+        one, two = (mix(np.add.reduceat(mix(self.hashes + step) * powers(step, longest)[within], begins) + (stops - begins).astype(U64)) for step in (_STEP, _STEP2))
+        return of[begins], begins, stops, one, two
+
+    def run_units(self) -> tuple[np.ndarray, ...]:
+        """For each run that is the least of some window: its text, first word and hash."""
+        of = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        span = RUN + WINDOW - 1
+        if len(self.hashes) < span:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+        n, factors = len(self.hashes) - RUN + 1, powers(_STEP, RUN)
+        grams = np.zeros(n, U64)
+        for j in range(RUN):
+            grams += self.hashes[j : j + n] * factors[j]
+        grams = mix(grams)
+        inside = of[: len(of) - span + 1] == of[span - 1 :]  # windows that lie in one text
+        least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1)
+        chosen = np.unique(least[inside])
+        if len(chosen):  # a text that repeats itself at once has the same run again and again
+            same = np.append(False, (grams[chosen[1:]] == grams[chosen[:-1]]) & (chosen[1:] - chosen[:-1] < RUN) & (of[chosen[1:]] == of[chosen[:-1]]))
+            heads = np.maximum.accumulate(np.where(same, 0, np.arange(len(chosen))))
+            chosen = chosen[(chosen - chosen[heads]) % RUN == 0]
+        return of[chosen], chosen, grams[chosen]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    for part in (x for batch in batches for x in slices(batch, "text")):
+        yield part, Words(part.column("text"))
+
+
+def _ints(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array(values.astype(np.int32 if kind == pa.int32() else np.int64) if values.dtype != U64 else values.view(np.int64), kind)
+
+
+def _units(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables of all line units and all run units of `texts` (doc_id, mark, text), hashed in one pass."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in slices(batch, "text")):
-            rows: tuple[list, list, list, list] = ([], [], [], [])
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                for a, b, unit in unit_spans(text or ""):
-                    for column, value in zip(rows, (doc_id, a, b, _digest(unit)), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "end", "digest"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, UNITS)
-
-
-def _recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences that go, with their digest, and the first occurrence of each digest that recurs."""
-    every = cut_lineage(units(docs))  # read twice below: texts are cut into units once, and not while rows are sorted
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end")
-    recurring = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).filter("n > 1").select("digest", "kept.*")
-    first = recurring.select("digest", F.col("doc_id").alias("kept_doc_id"), F.col("start").alias("kept_start"), F.col("end").alias("kept_end"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start"))
-    return every.join(first, "digest").filter(~same).select("doc_id", "start", "end", "kept_doc_id", "kept_start", "digest"), first
-
-
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """Every unit that goes: doc_id, start, end, and where the one that stays is."""
-    return _recurring(docs)[0].select("doc_id", "start", "end", "kept_doc_id", "kept_start")
-
-
-GONE = "doc_id long, start long, end long, kept_doc_id long, kept_start long"
-#: `before` and `after` are hashes of the words around a unit, nearest first, and `starts` and `ends` where those words begin and end.
-AROUND = f"{GONE}, digest binary, kept boolean, before binary, starts binary, after binary, ends binary"
-
-
-def _around(text: str, asks: list) -> Iterator[tuple]:
-    """Rows of AROUND. Words that go already need no look."""
-    words = list(_WORD.finditer(text))
-    begins = [w.start() for w in words]
-    asks = sorted({(a["start"], a["end"], a["kept"], bytes(a["digest"]), a["kept_doc_id"], a["kept_start"]) for a in asks}, key=lambda a: a[:4])
-    gone = np.zeros(len(words), bool)
-    places = []
-    for a, b, kept, digest, *_ in asks:
-        i, j = bisect_left(begins, a), bisect_left(begins, b)
-        places.append((i, j))
-        gone[i:j] |= not kept
-    for (a, b, kept, digest, doc, start), (i, j) in zip(asks, places, strict=True):
-        if _digest(_normal(text[a:b])) != digest:
-            continue  # another row of this doc_id
-        left, right = words[max(0, i - REACH) : i][::-1], words[j : j + REACH]
-        if not kept:
-            left, right = ([] if i == 0 or gone[i - 1] else left), ([] if j >= len(words) or gone[j] else right)
-        raw = (_hashes([w[0] for w in left]), np.array([w.start() for w in left], np.int64), _hashes([w[0] for w in right]), np.array([] if kept else [w.end() for w in right], np.int64))
-        yield a, b, doc, start, digest, kept, *(x.tobytes() for x in raw)
+        for part, words in _parts(batches):
+            of, begins, stops, one, two = words.line_units()
+            r_of, r_begins, key = words.run_units()
+            none = np.zeros(len(r_of), bool)
+            rows = pa.array(np.concatenate([of, r_of]))
+            first = words.at[:-1]
+            columns = [
+                part.column("doc_id").take(rows),
+                part.column("mark").take(rows),
+                _ints(np.concatenate([begins - first[of], r_begins - first[r_of]]), pa.int32()),
+                _ints(np.concatenate([stops - first[of], r_begins - first[r_of] + RUN]), pa.int32()),
+                _ints(np.concatenate([words.starts[begins], none]), pa.int32()),
+                _ints(np.concatenate([words.ends[stops - 1], none]), pa.int32()),
+                _ints(np.concatenate([one, key]), pa.int64()),
+                pa.array(np.concatenate([two.view(np.int64), np.zeros(len(r_of), np.int64)]), pa.int64()),
+                pa.array(np.concatenate([np.ones(len(of), bool), none])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in LINES.split(", ")] + ["line"])
+
+    every = cut_lineage(texts.mapInArrow(each, f"{LINES}, line boolean"))
+    return every.filter("line").drop("line"), every.filter("not line").select("doc_id", "mark", "w0", "key")
+
+
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "w0")
+
+
+def _repeats(units: DataFrame, on: list[str], *more: str) -> DataFrame:
+    """Units that recur, with their digest's first occurrence as kept_doc_id, kept_mark, kept_w0 and kept_<more>."""
+    counts = cut_lineage(units.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    again = cut_lineage(spread_join(units, counts.select(*on), on, counts=counts))
+    firsts = again.groupBy(*on).agg(F.min(F.struct(_place().alias("at"), *more)).alias("kept"))
+    kept = firsts.select(*on, *(F.col(f"kept.at.{c}").alias(f"kept_{c}") for c in ("doc_id", "mark", "w0")), *(F.col(f"kept.{c}").alias(f"kept_{c}") for c in more))
+    return spread_join(again, kept, on, counts=counts).filter(~_is_first()).distinct()
+
+
+def _is_first() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("mark") == F.col("kept_mark")) & (F.col("w0") == F.col("kept_w0"))
+
+
+#: A unit or passage that goes, and where what stays begins.
+GONE = "doc_id long, mark long, w0 int, w1 int, start int, end int, kept_doc_id long, kept_mark long, kept_w0 int, kept_start int"
+_GONE = [c.split()[0] for c in GONE.split(", ")]
+#: Around a run: hashes of the words before (nearest first) and after, where they begin and end, and the run's own words.
+SEEN = "doc_id long, mark long, w0 int, key long, own binary, start int, end int, before binary, starts binary, after binary, ends binary"
+_SEEN = [(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in SEEN.split(", ")]
+
+
+def _look(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """SEEN for each (doc_id, mark, w0, key) of `asked`."""
+    at = F.struct("doc_id", "mark").alias("at")
+    wanted = cut_lineage(asked.groupBy(at).agg(F.sort_array(F.collect_set(F.struct("w0", "key"))).alias("asks")))
+    joined = _asked(texts.select(at, "text"), wanted).groupBy("at").agg(F.first("text").alias("text")).join(wanted, "at").select("at.doc_id", "at.mark", "text", "asks")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in _parts(batches):
+            short = (words.hashes >> U64(32)).astype(np.uint32)
+            rows = []
+            ids, marks, asks = (part.column(c).to_pylist() for c in ("doc_id", "mark", "asks"))
+            for i, (doc, mark, some) in enumerate(zip(ids, marks, asks, strict=True)):
+                a, b = int(words.at[i]), int(words.at[i + 1])
+                for ask in some:
+                    x = a + ask["w0"]
+                    y = x + RUN
+                    left, right = slice(max(a, x - REACH), x), slice(y, min(b, y + REACH))
+                    context = (short[left][::-1], words.starts[left][::-1].astype(np.int32), short[right], words.ends[right].astype(np.int32))
+                    rows.append((doc, mark, ask["w0"], ask["key"], words.hashes[x:y].tobytes(), int(words.starts[x]), int(words.ends[y - 1]), *(c.tobytes() for c in context)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), _SEEN, strict=True)], [n for n, _ in _SEEN])
+
+    return joined.mapInArrow(each, SEEN)
 
 
 def _alike(x: bytes, y: bytes) -> int:
@@ -182,46 +220,69 @@ def _alike(x: bytes, y: bytes) -> int:
     return int(apart.argmax()) if apart.any() else n
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Every passage that goes, lengthened as far as it repeats: doc_id, start, end, and where the one that stays is."""
-    gone, first = _recurring(docs)
-    gone = cut_lineage(gone)
-    kept = first.select("digest", F.col("kept_doc_id").alias("doc_id"), F.col("kept_start").alias("start"), F.col("kept_end").alias("end"))
-    ask = ("start", "end", "kept", "digest", "kept_doc_id", "kept_start")
-    none = F.lit(None).cast("long")
-    asks = gone.withColumn("kept", F.lit(False)).select("doc_id", *ask).unionByName(kept.select("doc_id", "start", "end", F.lit(True).alias("kept"), "digest", none.alias("kept_doc_id"), none.alias("kept_start")))
-    asks = asks.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct(*ask)).alias("asks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in AROUND.split(", ")]
-        kinds = [*[pa.int64()] * 5, pa.binary(), pa.bool_(), *[pa.binary()] * 4]
-        for part in (x for batch in batches for x in slices(batch, "text")):
-            for at in range(len(part)):
-                doc, text = part.column("doc_id")[at].as_py(), part.column("text")[at].as_py()
-                rows = [(a, b, *others) for a, b, *others in _around(text or "", part.column("asks")[at].as_py())]
-                if rows:
-                    a, b, *others = map(list, zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[doc] * len(rows), a, b, *others], kinds, strict=True)], names)
-
-    told = cut_lineage(texts.join(asks, texts["doc_id"].eqNullSafe(F.col("asked_id"))).select("doc_id", "text", "asks").mapInArrow(look, AROUND))
-    stands = told.filter("kept").select("digest", F.col("before").alias("kept_before"), F.col("starts").alias("kept_starts"), F.col("after").alias("kept_after")).dropDuplicates(["digest"])
-    open_ = (F.length("before") > 0) | (F.length("after") > 0)
-    columns = [c.split()[0] for c in GONE.split(", ")]
-
-    def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lengthened(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """GONE rows of runs (doc_id, mark, w0, key, kept_…), as long as they equal what stays."""
+    places = ["doc_id", "mark", "w0", "key"]
+    kept = runs.select(*(F.col("key") if c == "key" else F.col(f"kept_{c}").alias(c) for c in places)).distinct()
+    seen = cut_lineage(_look(texts, runs.select(*places).unionByName(kept)))
+    same = F.col("s.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("s.mark") == F.col("k.mark")) & (F.col("s.w0") == F.col("k.w0")) & (F.col("s.key") == F.col("k.key"))
+    stands = seen.alias("s").join(kept.alias("k"), same, "left_semi").select("key", *(F.col(n).alias(f"kept_{n}") for n, _ in _SEEN if n not in ("key", "end", "ends")))
+    pairs = spread_join(seen, stands, ["key"]).filter(~_is_first())
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pydict()
+            rows, out = batch.to_pydict(), []
             for i in range(len(batch)):
-                if n := _alike(rows["before"][i], rows["kept_before"][i]):
-                    rows["start"][i] = int(np.frombuffer(rows["starts"][i], np.int64)[n - 1])
-                    rows["kept_start"][i] = int(np.frombuffer(rows["kept_starts"][i], np.int64)[n - 1])
-                if n := _alike(rows["after"][i], rows["kept_after"][i]):
-                    rows["end"][i] = int(np.frombuffer(rows["ends"][i], np.int64)[n - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c], pa.int64()) for c in columns], columns)
+                r = {c: rows[c][i] for c in rows}
+                if r["own"] != r["kept_own"]:
+                    continue  # different words that share a hash
+                w0, w1, start, end, k0, ks = r["w0"], r["w0"] + RUN, r["start"], r["end"], r["kept_w0"], r["kept_start"]
+                if n := _alike(r["before"], r["kept_before"]):
+                    w0, k0 = w0 - n, k0 - n
+                    start, ks = int(np.frombuffer(r["starts"], np.int32)[n - 1]), int(np.frombuffer(r["kept_starts"], np.int32)[n - 1])
+                if n := _alike(r["after"], r["kept_after"]):
+                    w1, end = w1 + n, int(np.frombuffer(r["ends"], np.int32)[n - 1])
+                out.append((r["doc_id"], r["mark"], w0, w1, start, end, r["kept_doc_id"], r["kept_mark"], k0, ks))
+            columns = zip(*out, strict=True) if out else [[]] * len(_GONE)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n.endswith(("doc_id", "mark")) else pa.int32()) for c, n in zip(columns, _GONE, strict=True)], _GONE)
+
+    return pairs.mapInArrow(each, GONE)
+
+
+def _gone(docs: DataFrame) -> DataFrame:
+    """GONE rows of every unit that goes; units may overlap."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
+    lines, runs = _units(texts)
+    line_rows = cut_lineage(_repeats(lines, ["key", "check"], "start").select(*_GONE))
+    run_rows = cut_lineage(_repeats(runs, ["key"]).select("doc_id", "mark", "w0", "key", "kept_doc_id", "kept_mark", "kept_w0"))
+    # runs inside lines that go need no look: the last line that begins at or before a run is the one that may hold it
+    by_text = Window.partitionBy("doc_id", "mark").orderBy("w0", F.col("end").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    none = [F.lit(None).cast("int").alias(c) for c in ("w1", "end")]
+    both = line_rows.select("doc_id", "mark", "w0", "w1", "end", F.lit(None).cast("long").alias("key"), *(F.lit(None).cast(t).alias(f"kept_{c}") for c, t in (("doc_id", "long"), ("mark", "long"), ("w0", "int"))))
+    both = both.unionByName(run_rows.select("doc_id", "mark", "w0", *none, "key", "kept_doc_id", "kept_mark", "kept_w0"))
+    held = F.coalesce(F.max("w1").over(by_text), F.lit(0))
+    open_ = both.withColumn("held", held).filter(F.col("key").isNotNull() & (F.col("held") < F.col("w0") + RUN))
+    longer = _lengthened(texts, cut_lineage(open_.select(*run_rows.columns)))
+    return line_rows.unionByName(longer)
+
+
+def repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame:
+    """Every passage that goes: doc_id, start, end, words, and where the text that stays begins (kept_doc_id, kept_start).
+
+    A passage is a stretch of units that touch or overlap; it stays in the place of its first unit.
+    """
+    return _passages(docs, least_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("words").cast("long").alias("words"), "kept_doc_id", F.col("kept_start").cast("long").alias("kept_start"))
+
 
-    longer = told.filter(~F.col("kept") & open_).drop("kept").join(stands, "digest").mapInArrow(lengthen, GONE)
-    return told.filter(~F.col("kept") & ~open_).select(*columns).unionByName(longer)
+def _passages(docs: DataFrame, least_words: int) -> DataFrame:
+    gone = cut_lineage(_gone(docs))
+    by_text = Window.partitionBy("doc_id", "mark").orderBy("w0", F.col("w1").desc(), "kept_doc_id", "kept_w0")
+    reach = F.max("w1").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce((F.col("w0") > reach).cast("int"), F.lit(0))
+    islands = gone.withColumn("apart", apart).withColumn("island", F.sum("apart").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.struct("w0", -F.col("w1"), F.col("kept_doc_id").isNull(), "kept_doc_id", "kept_w0", "kept_start")
+    merged = islands.groupBy("doc_id", "mark", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("words"), F.min(first).alias("first"), F.collect_set(F.struct("start", "end")).alias("units"))
+    return merged.filter(F.col("words") >= least_words).select("doc_id", "mark", "start", "end", "words", "first.kept_doc_id", "first.kept_start", "units")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
@@ -236,22 +297,52 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[in
     return "".join(text[a:b] for a, b in kept), kept
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def _asked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`rows` whose `at` is in the table `wanted`; where those are few, the others stay where they are."""
+    few = wanted.count() <= FEW_IDS
+    return rows.join(F.broadcast(wanted.select("at")), "at", "left_semi") if few else rows
+
+
+def _cut(rows: DataFrame, passages: DataFrame, how: str) -> DataFrame:
+    """`rows` (kept, text, at) with the units of passages (at, gone) cut out of text, kept_spans and gone; white space between units stays."""
+    span = "struct<start:int,end:int,words:int,kept_doc_id:long,kept_start:int,units:array<struct<start:int,end:int>>>"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for part in (x for batch in batches for x in slices(batch, "text")):
+            gone = part.column("gone")
+            pairs = [(None, []) if t is None else without(t, [(u["start"], u["end"]) for s in g or [] for u in s["units"]]) for t, g in zip(part.column("text").to_pylist(), gone.to_pylist(), strict=True)]
+            spans = pa.array([[{"start": a, "end": b} for a, b in k] for _, k in pairs], kept_kind)
+            yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array([t for t, _ in pairs], pa.string()), spans, gone], ["kept", "text", "kept_spans", "gone"])
+
+    joined = rows.join(passages, "at", how).select("kept", "text", "gone")
+    return joined.mapInArrow(cut, f"kept {rows.schema['kept'].dataType.simpleString()}, text string, kept_spans array<struct<start:long,end:long>>, gone array<{span}>")
+
+
+def _keyed(docs: DataFrame, others: list[str]) -> DataFrame:
+    at = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    return docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("kept"), F.col("text").cast("string").alias("text"), at.alias("at"))
+
+
+def _by_text(docs: DataFrame, least_words: int) -> DataFrame:
+    """at, gone: a text's passages, as many as its own units."""
+    spans = F.array_sort(F.collect_list(F.struct("start", "end", "words", "kept_doc_id", "kept_start", "units")))
+    return cut_lineage(_passages(docs, least_words).groupBy(F.struct("doc_id", "mark").alias("at")).agg(spans.alias("gone")))
+
+
+def drop_repeats(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """`docs` with repeats cut out of text and a column kept_spans: the original offsets of what stays.
 
-    A document's spans are as many as its own units, so they are gathered by doc_id.
+    All other columns are kept, whatever their names; a column kept_spans is replaced.
     """
     others = [c for c in docs.columns if c not in ("text", "kept_spans")]
-    gone = repeated_passages(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")), "left").select(*(F.col(f"`{c}`") for c in others), F.col("text").cast("string").alias("text"), "gone")
+    out = _cut(_keyed(docs, others), _by_text(docs, least_words), "left")
+    return out.select(*(F.col(f"kept.`{c}`").alias(c) for c in others), "text", "kept_spans")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[others].copy()
-            pairs = [(None, []) if t is None else without(t, [] if g is None else [(s["start"], s["end"]) for s in g]) for t, g in zip(batch["text"], batch["gone"], strict=True)]
-            out["text"] = [t for t, _ in pairs]
-            out["kept_spans"] = [[{"start": a, "end": b} for a, b in k] for _, k in pairs]
-            yield out
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "text string, kept_spans array<struct<start:long,end:long>>"])
-    return joined.mapInPandas(cut, schema)
+
+def shortened(docs: DataFrame, least_words: int = PASSAGE) -> DataFrame:
+    """Every document that loses text: doc_id, cleaned (what stays), kept_spans, and gone, the passages cut out."""
+    passages = _by_text(docs, least_words)
+    out = _cut(_asked(_keyed(docs, ["doc_id"]), passages), passages, "inner")
+    gone = F.transform("gone", lambda g: g.dropFields("units"))
+    return out.select(F.col("kept.doc_id").cast("long").alias("doc_id"), F.col("text").alias("cleaned"), "kept_spans", gone.alias("gone"))
