@@ -2,6 +2,8 @@
 
 Every stage but the last returns the columns of its `docs`. Rows that share a doc_id stay or go
 together in the near-duplicate and mixing stages; a null doc_id is an id like any other in mixing.
+Null and empty texts stay until packing, where they are the end token alone; a null source is a
+source; further columns pass through whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,12 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut_lineage, table
-from vellum.llm.mixing import pareto_mix
+from vellum.llm.common import cut_lineage, spread_join, table
+from vellum.llm.mixing import by_length, pareto_mix
 from vellum.llm.near_dup import keep_one_of_each
 from vellum.llm.packing import best_fit_packing
 from vellum.llm.queries import tokenizer_path
-from vellum.llm.secrets import blob, by_blob, redact, update_ledger
+from vellum.llm.secrets import redact_all
 from vellum.llm.toxicity import fit, keep_clean
 
 
@@ -32,17 +34,16 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with its secrets blacked out and n_chars brought up to date."""
-    found = by_blob(update_ledger(docs.select("text"))).select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans"))
-    joined = docs.join(found, blob(F.col("text")) == F.col("found_blob"), "left").withColumn("text", redact(F.col("text"), F.col("found_spans")))
-    n_chars = F.when(F.col("found_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return joined.withColumn("n_chars", n_chars).select(*docs.columns)
+    return redact_all(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document appears as often as the mix takes it: not at all, or up to three times."""
-    taken = pareto_mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").cast("int").alias("mixed_copies")).filter("mixed_copies > 0")
-    repeated = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("mixed_id")))
-    return repeated.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*docs.columns)
+    ids = F.struct(F.col("doc_id").cast("long").alias("doc_id"))  # null is an id like any other
+    taken = pareto_mix(docs, by_length).groupBy(ids.alias("mixed_id")).agg(F.max("copies").cast("int").alias("mixed_copies")).filter("mixed_copies > 0")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), ids.alias("mixed_id"))
+    repeated = spread_join(rows, taken, ["mixed_id"])
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
