@@ -50,7 +50,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes tables of `cut_lineage` before the driver ends; nothing that reads them may still be open."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(table_._cut_path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def spread_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices, spread_join
+from .common import cut_lineage, drop_tables, slices, spread_join
 from .shingles import U64, hash_words, mix, powers, raw_bytes, word_places
 
 RUN, WINDOW, REACH, PASSAGE = 8, 23, 32, 50
@@ -46,6 +46,8 @@ _WORD = re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
 #: What plain byte work would cut otherwise: such scripts, and white space past the six ASCII characters.
 _SPECIAL = r"[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{2e80}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _STEP, _STEP2 = U64(0xD1342543DE82EF95), U64(0xAF251AF3B0F025B5)
+#: Low bits of a run's hash that give way to its place.
+_PLACE = U64((1 << 20) - 1)
 LINES = "doc_id long, mark long, w0 int, w1 int, start int, end int, key long, check long"
 RUNS = "doc_id long, mark long, w0 int, key long"
 
@@ -118,8 +120,14 @@ class Words:
             grams += self.hashes[j : j + n] * factors[j]
         grams = mix(grams)
         inside = of[: len(of) - span + 1] == of[span - 1 :]  # windows that lie in one text
-        least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1)
-        chosen = np.unique(least[inside])
+        # the least of each window by doubling, with its place in the text in the low bits
+        rel = (np.arange(n) - self.at[:-1][of[:n]]).astype(U64) & _PLACE
+        least, width = (grams & ~_PLACE) | rel, 1
+        while 2 * width <= WINDOW:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        least = np.minimum(least[: n - WINDOW + 1], least[WINDOW - width :][: n - WINDOW + 1])
+        heads = np.flatnonzero(inside)
+        chosen = np.unique(heads + (((least[heads] & _PLACE) - rel[heads]) & _PLACE).astype(np.int64))
         if len(chosen):  # a text that repeats itself at once has the same run again and again
             same = np.append(False, (grams[chosen[1:]] == grams[chosen[:-1]]) & (chosen[1:] - chosen[:-1] < RUN) & (of[chosen[1:]] == of[chosen[:-1]]))
             heads = np.maximum.accumulate(np.where(same, 0, np.arange(len(chosen))))
@@ -136,8 +144,8 @@ def _ints(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.array(values.astype(np.int32 if kind == pa.int32() else np.int64) if values.dtype != U64 else values.view(np.int64), kind)
 
 
-def _units(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables of all line units and all run units of `texts` (doc_id, mark, text), hashed in one pass."""
+def _units(texts: DataFrame) -> DataFrame:
+    """A table of all line and run units of `texts` (doc_id, mark, text), hashed in one pass."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _parts(batches):
@@ -159,21 +167,22 @@ def _units(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in LINES.split(", ")] + ["line"])
 
-    every = cut_lineage(texts.mapInArrow(each, f"{LINES}, line boolean"))
-    return every.filter("line").drop("line"), every.filter("not line").select("doc_id", "mark", "w0", "key")
+    return cut_lineage(texts.mapInArrow(each, f"{LINES}, line boolean"))
 
 
 def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "w0")
 
 
-def _repeats(units: DataFrame, on: list[str], *more: str) -> DataFrame:
-    """Units that recur, with their digest's first occurrence as kept_doc_id, kept_mark, kept_w0 and kept_<more>."""
+def _repeats(units: DataFrame, on: list[str], *more: str, columns: list[str]) -> DataFrame:
+    """A table of the units that go: `columns` and, of their digest's first occurrence, kept_doc_id, kept_mark, kept_w0 and kept_<more>."""
     counts = cut_lineage(units.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     again = cut_lineage(spread_join(units, counts.select(*on), on, counts=counts))
     firsts = again.groupBy(*on).agg(F.min(F.struct(_place().alias("at"), *more)).alias("kept"))
     kept = firsts.select(*on, *(F.col(f"kept.at.{c}").alias(f"kept_{c}") for c in ("doc_id", "mark", "w0")), *(F.col(f"kept.{c}").alias(f"kept_{c}") for c in more))
-    return spread_join(again, kept, on, counts=counts).filter(~_is_first()).distinct()
+    gone = cut_lineage(spread_join(again, kept, on, counts=counts).filter(~_is_first()).select(*columns).distinct())
+    drop_tables(counts, again)
+    return gone
 
 
 def _is_first() -> Column:
@@ -183,20 +192,32 @@ def _is_first() -> Column:
 #: A unit or passage that goes, and where what stays begins.
 GONE = "doc_id long, mark long, w0 int, w1 int, start int, end int, kept_doc_id long, kept_mark long, kept_w0 int, kept_start int"
 _GONE = [c.split()[0] for c in GONE.split(", ")]
-#: Around a run: hashes of the words before (nearest first) and after, where they begin and end, and the run's own words.
-SEEN = "doc_id long, mark long, w0 int, key long, own binary, start int, end int, before binary, starts binary, after binary, ends binary"
-_SEEN = [(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in SEEN.split(", ")]
+#: Around a run: hashes of the words before (nearest first) and after, how far from the run they begin and end, and a second hash of the run's own words.
+SEEN = "doc_id long, mark long, w0 int, key long, own long, first boolean, start int, end int, before binary, starts binary, after binary, ends binary"
+_SEEN = [(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}[c.split()[1]]) for c in SEEN.split(", ")]
+
+
+def _far(distances: np.ndarray) -> bytes:
+    """Distances in two bytes each if they fit, else in four."""
+    return distances.astype(np.uint16 if not len(distances) or distances.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _nth(distances: bytes, hashes: bytes, n: int) -> int:
+    size = 4 * len(distances) // max(1, len(hashes))
+    return int(np.frombuffer(distances, np.uint16 if size == 2 else np.uint32)[n - 1])
 
 
 def _look(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """SEEN for each (doc_id, mark, w0, key) of `asked`."""
+    """A table of SEEN for each (doc_id, mark, w0, key, first) of `asked`."""
     at = F.struct("doc_id", "mark").alias("at")
-    wanted = cut_lineage(asked.groupBy(at).agg(F.sort_array(F.collect_set(F.struct("w0", "key"))).alias("asks")))
+    wanted = cut_lineage(asked.groupBy(at).agg(F.sort_array(F.collect_set(F.struct("w0", "key", "first"))).alias("asks")))
     joined = _asked(texts.select(at, "text"), wanted).groupBy("at").agg(F.first("text").alias("text")).join(wanted, "at").select("at.doc_id", "at.mark", "text", "asks")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = powers(_STEP2, RUN)
         for part, words in _parts(batches):
             short = (words.hashes >> U64(32)).astype(np.uint32)
+            starts, ends = words.starts, words.ends
             rows = []
             ids, marks, asks = (part.column(c).to_pylist() for c in ("doc_id", "mark", "asks"))
             for i, (doc, mark, some) in enumerate(zip(ids, marks, asks, strict=True)):
@@ -205,12 +226,14 @@ def _look(texts: DataFrame, asked: DataFrame) -> DataFrame:
                     x = a + ask["w0"]
                     y = x + RUN
                     left, right = slice(max(a, x - REACH), x), slice(y, min(b, y + REACH))
-                    context = (short[left][::-1], words.starts[left][::-1].astype(np.int32), short[right], words.ends[right].astype(np.int32))
-                    rows.append((doc, mark, ask["w0"], ask["key"], words.hashes[x:y].tobytes(), int(words.starts[x]), int(words.ends[y - 1]), *(c.tobytes() for c in context)))
+                    start, end, own = int(starts[x]), int(ends[y - 1]), int(((words.hashes[x:y] + _STEP2) * factors).sum(dtype=U64).view(np.int64))
+                    rows.append((doc, mark, ask["w0"], ask["key"], own, ask["first"], start, end, short[left][::-1].tobytes(), _far(start - starts[left][::-1]), short[right].tobytes(), b"" if ask["first"] else _far(ends[right] - end)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), _SEEN, strict=True)], [n for n, _ in _SEEN])
 
-    return joined.mapInArrow(each, SEEN)
+    seen = cut_lineage(joined.mapInArrow(each, SEEN))
+    drop_tables(wanted)
+    return seen
 
 
 def _alike(x: bytes, y: bytes) -> int:
@@ -221,13 +244,12 @@ def _alike(x: bytes, y: bytes) -> int:
 
 
 def _lengthened(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """GONE rows of runs (doc_id, mark, w0, key, kept_…), as long as they equal what stays."""
+    """A table of GONE rows of runs (doc_id, mark, w0, key, kept_…), as long as they equal what stays."""
     places = ["doc_id", "mark", "w0", "key"]
     kept = runs.select(*(F.col("key") if c == "key" else F.col(f"kept_{c}").alias(c) for c in places)).distinct()
-    seen = cut_lineage(_look(texts, runs.select(*places).unionByName(kept)))
-    same = F.col("s.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("s.mark") == F.col("k.mark")) & (F.col("s.w0") == F.col("k.w0")) & (F.col("s.key") == F.col("k.key"))
-    stands = seen.alias("s").join(kept.alias("k"), same, "left_semi").select("key", *(F.col(n).alias(f"kept_{n}") for n, _ in _SEEN if n not in ("key", "end", "ends")))
-    pairs = spread_join(seen, stands, ["key"]).filter(~_is_first())
+    seen = _look(texts, runs.select(*places, F.lit(False).alias("first")).unionByName(kept.withColumn("first", F.lit(True))))
+    stands = seen.filter("first").select("key", *(F.col(n).alias(f"kept_{n}") for n in ("doc_id", "mark", "w0", "own", "start", "before", "starts", "after")))
+    pairs = spread_join(seen.filter("not first").drop("first"), stands, ["key"], counts=runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,30 +261,37 @@ def _lengthened(texts: DataFrame, runs: DataFrame) -> DataFrame:
                 w0, w1, start, end, k0, ks = r["w0"], r["w0"] + RUN, r["start"], r["end"], r["kept_w0"], r["kept_start"]
                 if n := _alike(r["before"], r["kept_before"]):
                     w0, k0 = w0 - n, k0 - n
-                    start, ks = int(np.frombuffer(r["starts"], np.int32)[n - 1]), int(np.frombuffer(r["kept_starts"], np.int32)[n - 1])
+                    start, ks = start - _nth(r["starts"], r["before"], n), ks - _nth(r["kept_starts"], r["kept_before"], n)
                 if n := _alike(r["after"], r["kept_after"]):
-                    w1, end = w1 + n, int(np.frombuffer(r["ends"], np.int32)[n - 1])
+                    w1, end = w1 + n, end + _nth(r["ends"], r["after"], n)
                 out.append((r["doc_id"], r["mark"], w0, w1, start, end, r["kept_doc_id"], r["kept_mark"], k0, ks))
             columns = zip(*out, strict=True) if out else [[]] * len(_GONE)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n.endswith(("doc_id", "mark")) else pa.int32()) for c, n in zip(columns, _GONE, strict=True)], _GONE)
 
-    return pairs.mapInArrow(each, GONE)
+    longer = cut_lineage(pairs.mapInArrow(each, GONE))
+    drop_tables(seen)
+    return longer
 
 
 def _gone(docs: DataFrame) -> DataFrame:
     """GONE rows of every unit that goes; units may overlap."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
-    lines, runs = _units(texts)
-    line_rows = cut_lineage(_repeats(lines, ["key", "check"], "start").select(*_GONE))
-    run_rows = cut_lineage(_repeats(runs, ["key"]).select("doc_id", "mark", "w0", "key", "kept_doc_id", "kept_mark", "kept_w0"))
-    # runs inside lines that go need no look: the last line that begins at or before a run is the one that may hold it
-    by_text = Window.partitionBy("doc_id", "mark").orderBy("w0", F.col("end").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    none = [F.lit(None).cast("int").alias(c) for c in ("w1", "end")]
-    both = line_rows.select("doc_id", "mark", "w0", "w1", "end", F.lit(None).cast("long").alias("key"), *(F.lit(None).cast(t).alias(f"kept_{c}") for c, t in (("doc_id", "long"), ("mark", "long"), ("w0", "int"))))
-    both = both.unionByName(run_rows.select("doc_id", "mark", "w0", *none, "key", "kept_doc_id", "kept_mark", "kept_w0"))
-    held = F.coalesce(F.max("w1").over(by_text), F.lit(0))
-    open_ = both.withColumn("held", held).filter(F.col("key").isNotNull() & (F.col("held") < F.col("w0") + RUN))
-    longer = _lengthened(texts, cut_lineage(open_.select(*run_rows.columns)))
+    every = _units(texts)
+    line_rows = _repeats(every.filter("line").drop("line"), ["key", "check"], "start", columns=_GONE)
+    run_columns = ["doc_id", "mark", "w0", "key", "kept_doc_id", "kept_mark", "kept_w0"]
+    run_rows = _repeats(every.filter("not line").select("doc_id", "mark", "w0", "key"), ["key"], columns=run_columns)
+    drop_tables(every)
+    # runs that lie in a stretch of lines that go need no look
+    by_text = Window.partitionBy("doc_id", "mark").orderBy("w0", F.col("key").isNotNull())
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("key", "long"), ("kept_doc_id", "long"), ("kept_mark", "long"), ("kept_w0", "int"))]
+    both = line_rows.select("doc_id", "mark", "w0", "w1", *nothing).unionByName(run_rows.withColumn("w1", F.col("w0") + RUN))
+    is_line = F.col("key").isNull()
+    reach = F.max(F.when(is_line, F.col("w1"))).over(by_text.rowsBetween(Window.unboundedPreceding, -1))
+    stretched = both.withColumn("stretch", F.sum((is_line & F.coalesce(F.col("w0") > reach, F.lit(True))).cast("int")).over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
+    held = F.max(F.when(is_line, F.col("w1"))).over(Window.partitionBy("doc_id", "mark", "stretch"))
+    open_ = cut_lineage(stretched.withColumn("held", F.coalesce(held, F.lit(0))).filter(~is_line & (F.col("held") < F.col("w1"))).select(*run_columns))
+    longer = _lengthened(texts, open_)
+    drop_tables(run_rows, open_)
     return line_rows.unionByName(longer)
 
 
