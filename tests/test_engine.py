@@ -7,7 +7,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from vellum.operators.chapters import segment, title_roles
+from vellum.operators import chapters, flow, layout, pages, quality, render, tables
+from vellum.operators.chapters import title_roles
 from vellum.operators.layout import cut, span_numbers
 from vellum.plans.oracle import ORACLE_SQL
 from vellum.plans.queries import QUERIES
@@ -55,10 +56,6 @@ def test_notes_and_chapters(spark):
     assert [r.text for r in found if r.kind == "paragraph"][1] == "It begins and goes on, over the page-break." or "pagebreak" in [r.text for r in found if r.kind == "paragraph"][1]
 
 
-def test_segment_without_items():
-    assert segment([]) == [("Chapter 1", [])]
-
-
 def test_xy_cut_takes_columns_first():
     boxes = [(350, 100, 550, 140, "R1"), (40, 200, 250, 240, "L2"), (350, 200, 550, 240, "R2"), (40, 100, 250, 140, "L1")]
     assert [b[4] for b in cut(boxes, 6)] == ["L1", "L2", "R1", "R2"]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NOT_WORD, compact, plain, strip
+from .text import NOT_WORD, compact, let, plain, strip
 
 # Thresholds of layout and headings.
 MARGIN_BAND, ARTIFACT_TOP, ARTIFACT_BOTTOM, REPEAT_SHARE, REPEAT_LEAST = 0.05, 0.08, 0.92, 0.3, 2
 HEADING_DELTA, HEADING_FACTOR, HEADING_BOLD, CHAPTER_FACTOR, CHAPTER_TOP = 1.4, 1.2, 0.5, 1.5, 0.35
+COPYRIGHT_PAGES = 12
 OCR_CHARS, OCR_BAD, OCR_AREA = 50, 0.30, 40_000.0
 # How headings of chapters and parts begin, by language.
 _NUMERAL = "[0-9ivxlcdm]+"
@@ -34,11 +35,13 @@ CHAPTER = "(?iu)" + "|".join(
     + [rf"^({words}){_END}" for words in MATTER_WORDS]
     + [rf"^глава\s+{_NUMERAL}", "^第[0-9一二三四五六七八九十百千]+[章节部回]", "^(序章|序言|前言|引言|附录|尾声)"]
 )
+# Page numbers, junk paragraphs, texts without letters (numerals such as ½ or Ⅷ count as letters),
+# reasons of drops whose words aren't missed, and lines of a copyright page that are left out.
 PAGE_NUMBER = r"(?i)^\s*([0-9]+|[ivxlcdm]+)\s*$"
 JUNK = r"(?i)^([0-9]+[a-z]+|[a-z]+[0-9]+|[a-z]?[0-9]+[a-z]?|&[a-z0-9]|[&gs]+)$"
-SYMBOLS = r"^[^\p{L}]+$"
+SYMBOLS = r"^[^\p{L}\p{Nl}\p{No}]+$"
 BOILERPLATE = ("running_header_footer", "page_number", "table_of_contents", "cover_page", "margin_artifact", "noise_text", "ocr_replaced_scan")
-CATALOG_LINE = r"(?i)^\s*(isbn|lccn|library of congress (control|catalog)|printed in the (u\.?s\.?a\.?|united states))"
+CATALOG_LINE = rf"(?i)^(?:ISBN(?:-1[03])?|LCCN|Library of Congress Control Number|Printed in the United States of America){_END}"
 # Hints in font names.
 BOLD_FONTS, ITALIC_FONTS = "bold|black|heavy|semibold|demi", "italic|oblique|slanted"
 MONO_FONTS = "mono|courier|consolas|menlo|typewriter|lucida console|inconsolata|source code"
@@ -70,16 +73,19 @@ def garbled(dense: Column) -> Column:
 
 
 def noise(text: Column, ocr: Column | bool = False) -> Column:
-    dense = compact(plain(text))
     ocr = ocr if isinstance(ocr, Column) else F.lit(ocr)
-    return (
-        F.when(dense == "", True)
-        .when((F.length(dense) <= 4) & dense.rlike(r"(?i)^[0-9&gs]+$"), True)
-        .when(ocr & garbled(dense), True)
-        .when(dense.rlike("[A-Za-z]"), False)
-        .when(F.length(dense) <= 6, True)
-        .otherwise(dense.rlike(SYMBOLS))
-    )
+
+    def judge(dense: Column) -> Column:
+        return (
+            F.when(dense == "", True)
+            .when((F.length(dense) <= 4) & dense.rlike(r"(?i)^[0-9&gs]+$"), True)
+            .when(ocr & garbled(dense), True)
+            .when(dense.rlike("[A-Za-z]"), False)
+            .when(F.length(dense) <= 6, True)
+            .otherwise(dense.rlike(SYMBOLS))
+        )
+
+    return let(compact(plain(text)), judge)
 
 
 def chapter_like(text: Column) -> Column:
@@ -87,7 +93,7 @@ def chapter_like(text: Column) -> Column:
 
 
 def heading_flags(text: Column, font: Column, bold: Column, y0: Column, body: Column, height: Column) -> tuple[Column, Column]:
-    """(is a heading, opens a chapter)."""
+    """(is a heading, opens a chapter); `text` is normalised."""
     named = chapter_like(text) | text.rlike(r"(?i)^chapter\s+[&s](\s|$)")
     big = (font >= body + HEADING_DELTA) | (font >= body * HEADING_FACTOR)
     strong = (F.length(text) <= 80) & (bold >= HEADING_BOLD) & (font > body)
@@ -101,9 +107,19 @@ def toc_entry(text: Column) -> Column:
     return text.rlike(r"\.\.+\s*[0-9]+\s*$") | chapter_like(text)
 
 
+def code_block(fonts: Column, flags: Column) -> Column:
+    """Whether all of a block's visible spans (arrays of font names and flags) are in fixed pitch."""
+    spans = F.arrays_zip(fonts.alias("font"), flags.alias("flags"))
+    return (F.size(spans) > 0) & F.forall(spans, lambda x: mono(x["font"], x["flags"]))
+
+
+def full_width(x0: Column, x1: Column, width: Column) -> Column:
+    return x1 - x0 > width * 0.6
+
+
 def copyright_page(page: Column, text: Column) -> Column:
     low = F.lower(text)
-    return (page <= 12) & F.contains(low, F.lit("all rights reserved")) & (F.contains(low, F.lit("©")) | F.contains(low, F.lit("copyright")))
+    return (page <= COPYRIGHT_PAGES) & F.contains(low, F.lit("all rights reserved")) & (F.contains(low, F.lit("©")) | F.contains(low, F.lit("copyright")))
 
 
 def catalog_line(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +24,11 @@ MARKER = r"(?:\[[0-9]{1,3}\]|[0-9]{1,3}|[*†‡§¶]{1,3})"
 LEADING_MARKER = r"^(\[[0-9]{1,3}\]|[0-9]{1,3}(?![0-9])|[*†‡§¶]{1,3})[.):]?\s*(?=\S)"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def plain(markup: Column) -> Column:
     """Visible text: note references keep their label, all other styling goes."""
     return F.regexp_replace(F.regexp_replace(markup, NOTE_REF, "$2"), SENTINELS, "")
@@ -69,6 +77,25 @@ def without_hyphen(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, rf"{SPACE}+$", ""), f"-({SENTINELS}*)$", "$1")
 
 
+def breakable(letters: Column) -> Column:
+    """Whether a run of letters can be hyphenated at all: five letters and more with a consonant between vowels.
+
+    Stands in for a dictionary of hyphenation patterns, which isn't part of this package.
+    """
+    return (F.length(letters) >= 5) & letters.rlike("(?i)[aeiouy][^aeiouy]+[aeiouy]")
+
+
+def joined_lines(lines: Column) -> Column:
+    """A block's lines as one text: a line that ends in a hyphen joins one that starts lower case if the word can be broken."""
+
+    def step(done: Column, line: Column) -> Column:
+        glued = F.concat(without_hyphen(done), line)
+        broken = plain(done).endswith("-") & starts_lower(plain(line)) & breakable(F.regexp_replace(plain(glued), "[^A-Za-z]", ""))
+        return F.when(done == "", line).when(broken, glued).otherwise(F.concat(done, F.lit(" "), line))
+
+    return collapse(F.aggregate(lines, F.lit(""), step))
+
+
 def marker_name(marker: Column) -> Column:
     return F.regexp_replace(F.trim(marker), r"^[\[\]]+|[\[\]]+$", "")
 
@@ -117,24 +144,33 @@ def heading(text: Column) -> Column:
 
 def merged_title(left: Column, right: Column) -> Column:
     """One title of two: garbled or contained sides lose, others are joined."""
-    a, b = heading(left), heading(right)
     garbled = r"(?i)^(chapter|part)\s+(?:&|[a-z])\s*"
-    return (
-        F.when(left == "", right)
-        .when(right == "", left)
-        .when(a.rlike(garbled), b)
-        .when(b.rlike(garbled), a)
-        .when(F.contains(F.lower(b), F.lower(a)), b)
-        .when(F.contains(F.lower(a), F.lower(b)), a)
-        .otherwise(strip(F.concat_ws(" ", a, b)))
-    )
+
+    def one(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        return (
+            F.when(a.rlike(garbled), b)
+            .when(b.rlike(garbled), a)
+            .when(F.contains(F.lower(b), F.lower(a)), b)
+            .when(F.contains(F.lower(a), F.lower(b)), a)
+            .otherwise(strip(F.concat_ws(" ", a, b)))
+        )
+
+    return F.when(left == "", right).when(right == "", left).otherwise(let(F.struct(heading(left).alias("a"), heading(right).alias("b")), one))
 
 
-def redacted(text: Column) -> Column:
-    """Home folders of Windows and Unix paths blacked out."""
-    mark = "<sanitized_path>/"
-    out = F.regexp_replace(text, r"[a-zA-Z]:[\\/](?:Users|Documents and Settings|home)[\\/][^\\/]+[\\/]", mark)
-    return F.regexp_replace(out, r"/(?:Users|home)/[^/]+/", mark)
+#: Home folders of Windows and Unix paths, and what stands for them and for the user's name.
+HOMES = (r"[a-zA-Z]:[\\/](?:Users|Documents and Settings|home)[\\/][^\\/]+[\\/]", r"/(?:Users|home)/[^/]+/")
+HOME_MARK, USER_MARK = "<sanitized_path>/", "<user>"
+
+
+def redacted(text: Column, user: str = "") -> Column:
+    """Home folders, and the user's name where it has three letters or more, blacked out."""
+    if len(user) >= 3:
+        text = F.regexp_replace(text, r"(?iu)" + re.escape(user), USER_MARK)
+    for home in HOMES:
+        text = F.regexp_replace(text, home, HOME_MARK)
+    return text
 
 
 def error_code(warning: Column) -> Column:
@@ -147,8 +183,14 @@ def escaped(text: Column, quote: bool = False) -> Column:
     return F.replace(F.replace(out, F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;")) if quote else out
 
 
+#: Fixed value: what may stand before an author's name.
+AUTHOR_PREFIX = r"(?i)^\s*(?:written\s+by|by)\s*[:\-\s]+"
+
+
 def author(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?i)^\s*(?:(?:edited|translated|written)\s+)?by\b:?\s*", ""))
+    """A name without 'by' before it; the text as it is when nothing else is left."""
+    bare = strip(F.regexp_replace(text, AUTHOR_PREFIX, ""))
+    return F.when(bare != "", bare).otherwise(strip(text))
 
 
 def pdf_date(raw: Column) -> Column:

@@ -39,7 +39,7 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     ),
     "texts": (
         "id int, text string",
-        list(enumerate(["", "  ", "12", "xiv", "&", "G2", "&S", "gs", "zzzzzz", "...", "abc", "Дом", "Длинная строка", "* * *", "1234567", "a1", "page 7", "mix", "###", "——", "12a34", "S", "—?!", "日本語の長い文章です"])),
+        list(enumerate(["", "  ", "12", "xiv", "&", "G2", "&S", "gs", "zzzzzz", "...", "abc", "Дом", "Длинная строка", "* * *", "1234567", "a1", "page 7", "mix", "###", "——", "12a34", "S", "—?!", "日本語の長い文章です", "½ ⅓ ¼ ⅔ ¾ ⅛ ⅜", "ⅧⅨⅩⅪⅫⅬⅭ"])),
     ),
     "toc": (
         "doc_id int, page_number int, ord int, text string",
@@ -47,7 +47,7 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     ),
     "notices": (
         "doc_id int, page_number int, ord int, text string",
-        [(1, 2, i, t) for i, t in enumerate(["Copyright © 1999 by A. Writer", "All rights reserved. No part of this", "book may be copied.", "ISBN 0-00-000000-0", "LCCN 99-00001", "Printed in the United States of America", "First edition."])] + [(2, 13, 0, "© All rights reserved"), (3, 1, 0, "All rights reserved"), (4, 1, 0, "Copyright. ALL RIGHTS RESERVED")],
+        [(1, 2, i, t) for i, t in enumerate(["Copyright © 1999 by A. Writer", "All rights reserved. No part of this", "book may be copied.", "ISBN 0-00-000000-0", "LCCN 99-00001", "Printed in the United States of America", "First edition.", "Library of Congress Cataloging-in-Publication Data", "Printed in the U.S.A."])] + [(2, 13, 0, "© All rights reserved"), (3, 1, 0, "All rights reserved"), (4, 1, 0, "Copyright. ALL RIGHTS RESERVED")],
     ),
     "titles": ("doc_id int, ord int, title string", [(1, i, t) for i, t in enumerate(["Chapter 1", "Chapter 2: On", "Chapter 2", "Interlude", "chapter 5", "Chapter 4", "Chapter"])] + [(2, 0, "CHAPTER 10 x"), (2, 1, "Chapter 12")]),
     "spans": ("doc_id int, ord int, text string, size double", [(1, 0, "a", 3.0), (1, 1, "b", 1.0), (1, 2, "c", 3.0), (1, 3, "d", 1.0), (1, 4, "e", 9.0), (1, 5, "  ", 9.0), (1, 6, " ", 9.0), (2, 0, "x", 11.96), (2, 1, "y", 12.04), (2, 2, "z", 8.0), (3, 0, " ", 7.0)]),
@@ -75,6 +75,21 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         "doc_id int, ord int, kind string, text string, page_number int, level int, is_chapter_heading boolean, font double, bold_ratio double",
         [(1, i, k, t, p, 1 if k == "heading" else 0, k == "heading" and top, f, 0.0) for i, (k, t, p, top, f) in enumerate([("paragraph", "To you.", 1, False, 12.0), ("heading", "Chapter 1", 2, True, 24.0), ("heading", "The Calling", 2, True, 18.0), ("paragraph", "It begins and goes", 2, False, 12.0), ("paragraph", "on, over the page-", 3, False, 12.0), ("paragraph", "break.", 4, False, 12.0), ("note", "A note.", 4, False, 8.0), ("heading", "Aside", 4, False, 14.0), ("paragraph", "More.", 4, False, 12.0), ("heading", "CHAPTER 2", 5, True, 24.0), ("paragraph", "End.", 5, False, 12.0)])] + [(2, 0, "note", "Only a note", 1, 0, False, 8.0, 0.0)],
     ),
+    "book": (
+        f"{BLOCK.replace('ord int', 'block_index int')}, lines int",
+        [
+            (*r, 1)
+            for r in [
+                *_lines(1, 1, (100.0, 200.0, 500.0, 260.0, "A Picture of the Sea", 30.0, 0.0)),
+                *_lines(1, 2, (40.0, 100.0, 560.0, 120.0, "Contents", 12.0, 0.0), (40.0, 130.0, 560.0, 150.0, "Chapter 1 ..... 4", 12.0, 0.0), (40.0, 160.0, 560.0, 180.0, "Chapter 2 ..... 6", 12.0, 0.0), (40.0, 190.0, 560.0, 210.0, "Appendix ..... 9", 12.0, 0.0)),
+                *_lines(1, 3, (40.0, 100.0, 560.0, 120.0, "Copyright © 1999 by A. Writer", 12.0, 0.0), (40.0, 130.0, 560.0, 150.0, "All rights reserved. No part of this", 12.0, 0.0), (40.0, 160.0, 560.0, 180.0, "book may be copied.", 12.0, 0.0), (40.0, 190.0, 560.0, 210.0, "ISBN 0-00-000000-0", 12.0, 0.0)),
+                *_lines(1, 4, (40.0, 100.0, 560.0, 120.0, "For you.", 12.0, 0.0)),
+                *[r for page, (title, *body) in enumerate((("Chapter 1", "The story begins and", "goes on without a"), (None, "stop. It ends here.", "###", "“Another” paragraph is bro-", "ken at its line's end."), ("CHAPTER 2", "The last of them.")), 5) for r in _lines(1, page, (40.0, 10.0, 300.0, 30.0, "THE BOOK", 12.0, 0.0), *([(40.0, 90.0, 300.0, 115.0, title, 24.0, 1.0)] if title else []), *([(40.0, 120.0, 300.0, 140.0, "The Calling", 20.0, 1.0)] if title == "Chapter 1" else []), *[(40.0, 200.0 + 25 * i, 560.0, 220.0 + 25 * i, text, 12.0, 0.0) for i, text in enumerate(body)], (290.0, 700.0, 300.0, 715.0, str(page), 12.0, 0.0))],
+                *_lines(2, 1, (40.0, 60.0, 560.0, 63.0, "a low line in the margin", 12.0, 0.0), (350.0, 200.0, 550.0, 240.0, "right column second.", 12.0, 0.0), (40.0, 200.0, 250.0, 240.0, "The left column comes first and the", 12.0, 0.0)),
+            ]
+        ],
+    ),
+    "book_covers": ("doc_id int, cover_page int, title_page int", [(1, 1, None), (2, None, None)]),
     "web": ("page_id int, html string", [(1, "<h1>One</h1><p>Text <b>bold</b></p><table><tr><th>Name<th>Value<tr><td>alpha<td>1</table><ul><li>item<p>inner</p></ul><p><img src='a.png' alt='A'></p>"), (2, "<p>no body<h2>Two</h2><table><tr><td> </td></tr></table><img src=b.jpg>"), (3, ""), (4, "<table><tr><td>outer<table><tr><td>inner</td></tr></table></td></tr></table>")]),
 }
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as p
 from ..functions import text as t
-from ..operators import chapters, flow, layout, quality, render, tables
+from ..operators import chapters, flow, layout, pages, quality, render, tables
 from ..sources.html import html_chapters as chapters_of_html
 from ..sources.html import html_flow as flow_of_html
-from ..sources.lines import FONT, HEIGHT, line_blocks
+from ..sources.lines import FONT, HEIGHT, WIDTH, line_blocks
 from ..sources.package import archives, package_rows
 from ..streaming.pages import text_health
 from .literals import literal
@@ -97,7 +97,7 @@ def word_recall_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def missing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = quality.compared(quality.tokens(read(spark, sf_dir, "documents").filter("lang = 'en'"), letters=True), quality.tokens(read(spark, sf_dir, "conversations"), letters=True))
+    sides = quality.compared(quality.tokens(read(spark, sf_dir, "documents"), letters=True), quality.tokens(read(spark, sf_dir, "conversations"), letters=True))
     return quality.missing(sides)
 
 
@@ -121,7 +121,7 @@ def adjusted_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def conversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.report_totals(*_recall_sides(spark, sf_dir), "source").select("source", "input_words", "dropped_words", "output_words", "expected_words", "recall_passed")
+    return quality.report_totals(*_recall_sides(spark, sf_dir), "source").select("source", "input_words", "dropped_words", "output_words", "expected_words", "recall", "recall_raw", "recall_passed")
 
 
 @query
@@ -255,12 +255,60 @@ def chapter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as pages; paragraphs that haven't ended go on."""
-    turns = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("page_number"), "text")
-    lines = line_blocks(turns, "conv_id", "page_number").withColumn("kind", F.lit("line")).withColumn("bold_ratio", F.lit(0.0))
-    paragraphs = flow.assemble(lines, "conv_id", "page_number", order="block_index").withColumn("ord", F.col("page_number") * 1_000_000 + F.col("paragraph"))
+    lines = _turn_lines(spark, sf_dir).withColumn("kind", F.lit("line"))
+    paragraphs = flow.assemble(lines, "conv_id", "page_number", order="block_index").withColumn("ord", F.col("page_number").cast("long") * (1 << 32) + F.col("paragraph"))
     return chapters.continuations(paragraphs, "conv_id")
 
 
+def _turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as its pages: lines in order of page."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("page_number"), "text")
+    return line_blocks(turns, "conv_id", "page_number").withColumns({"bold_ratio": F.lit(0.0), "lines": F.lit(1), "width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
+
+
+def _document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one page each, and conversations whose turns are pages, as blocks."""
+    one = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), F.lit(1).alias("page_number"), "text")
+    lines = line_blocks(one, "doc_id", "page_number").withColumns({"bold_ratio": F.lit(0.0), "lines": F.lit(1), "width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
+    turns = _turn_lines(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("c"), F.col("conv_id").cast("string"))).drop("conv_id")
+    return lines.unionByName(turns)
+
+
+@query
+def page_flow_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why and how often blocks or whole pages are dropped, and their words, by document."""
+    found = pages.drops(pages.judged(_document_pages(spark, sf_dir)))
+    return quality.drop_report(found, "doc_id").groupBy("doc_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("word_count").alias("word_count"))
+
+
+@query
+def page_flow_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters from blocks: number, title, paragraphs and words by document."""
+    found, _ = pages.page_flow(_document_pages(spark, sf_dir))
+    counted = found.groupBy("doc_id", "chapter_no", "chapter_title").agg(F.count_if(F.col("kind") == "paragraph").alias("n_paragraphs"), F.count_if(F.col("kind") == "heading").alias("n_headings"), F.sum(F.size(t.words(F.col("text")))).alias("n_words"))
+    return counted
+
+
+@query
+def page_flow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the page flow produces, by kind of item."""
+    found, _ = pages.page_flow(_document_pages(spark, sf_dir))
+    return quality.produced(found, "doc_id").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+
+
+@query
+def page_flow_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page flow over pages with a cover, contents, rights, running headers, numbers, noise, columns and headings."""
+    found, _ = pages.page_flow(literal(spark, "book"), covers=literal(spark, "book_covers"))
+    return found.select("doc_id", "chapter_no", "chapter_title", "item_no", "kind", "text", "page_number")
+
+
+@query
+def page_flow_case_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, gone = pages.page_flow(literal(spark, "book"), covers=literal(spark, "book_covers"))
+    return quality.drop_report(gone, "doc_id")
+
+
 @query
 def html_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_of_html(read(spark, sf_dir, "pages")).select("page_id", "ord", "kind", "text", "level", "font")
@@ -289,9 +337,10 @@ def chapter_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def epub_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _rendered(spark, sf_dir)
-    named = render.content_id(found.withColumn("name", F.col("chapter_no").cast("string")), "page_id").join(found.groupBy("page_id").agg(F.min_by("title", "chapter_no").alias("title")), "page_id").withColumn("language", F.lit("en"))
-    return archives(package_rows(found, named, "page_id"), "page_id").select("page_id", F.sha2("package", 256).alias("package_sha256"), F.length("package").alias("n_bytes"), "error")
+    listed = _rendered(spark, sf_dir).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("chapter_no", "title", "content"))).alias("chapters"))
+    named = listed.withColumn("title", F.get("chapters", F.lit(0))["title"]).withColumn("language", F.lit("en"))
+    named = named.withColumn("identifier", render.content_id(F.col("title"), F.col("chapters")))
+    return archives(package_rows(named, "page_id"), "page_id").select("page_id", F.sha2("package", 256).alias("package_sha256"), F.length("package").alias("n_bytes"), "error")
 
 
 @query

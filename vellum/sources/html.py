@@ -54,11 +54,14 @@ class Tree(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        inner = {e.tag for e in self.open[-6:]}
-        ends = {"p"} if tag in ENDS_P and "p" in inner else ENDS.get(tag, set()) & inner
-        if ends and self.open[-1].tag not in ("ul", "ol", "table"):
-            while len(self.open) > 1 and ends & {e.tag for e in self.open} and self.open[-1].tag not in ("ul", "ol", "table"):
-                if self.open.pop().tag in ends:
+        # what an opening tag ends, looked for among all open elements up to the next list or table
+        ends = ({"p"} if tag in ENDS_P else set()) | ENDS.get(tag, set())
+        if ends:
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in ends:
+                    del self.open[i:]
+                    break
+                if self.open[i].tag in ("ul", "ol", "table"):
                     break
         element = Element(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(element)

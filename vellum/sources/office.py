@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from .html import FLOW
 
+#: Fixed value: the share of a page from which an image is taken for its scan.
+SCAN_SHARE = 0.85
 SUFFIXES = (".pdf", ".docx", ".odt", ".rtf", ".doc")
-MOST_ENTRY, MOST_TOTAL = 50 << 20, 250 << 20
+# Limits on archives.
+MOST_ENTRY, MOST_TOTAL, MOST_RATIO = 50 << 20, 250 << 20, 100
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -51,12 +54,27 @@ def _rows(table: ElementTree.Element) -> list[list[str]]:
     return [[_cell(c) for c in row.findall(f"{_W}tc")] for row in table.findall(f"{_W}tr")]
 
 
+def check_archive(z: zipfile.ZipFile) -> None:
+    """Refuses unsafe names, entries that are too large or packed too tightly, and archives that are too large in all."""
+    entries = z.infolist()
+    for i in entries:
+        parts = i.filename.replace("\\", "/").split("/")
+        if not i.filename.strip() or i.filename[0] in "/\\" or ".." in parts or "\0" in i.filename or re.match("[A-Za-z]:", i.filename):
+            raise UnsupportedInput(f"unsafe entry: {i.filename}")
+        if i.file_size > MOST_ENTRY or (i.file_size > 1024 and i.file_size > MOST_RATIO * max(1, i.compress_size)):
+            raise UnsupportedInput(f"entry too large: {i.filename}")
+    if sum(i.file_size for i in entries) > MOST_TOTAL:
+        raise UnsupportedInput("archive entries are too large")
+
+
 def docx_items(raw: bytes) -> list[dict]:
     """Flow items of a DOCX file in document order; each image counts once."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        if any(i.file_size > MOST_ENTRY for i in z.infolist()) or sum(i.file_size for i in z.infolist()) > MOST_TOTAL:
-            raise UnsupportedInput("archive entries are too large")
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        check_archive(z)
+        xml = z.read("word/document.xml")
+        if b"<!DOCTYPE" in xml or b"<!ENTITY" in xml or b"\x00" in xml[:64]:
+            raise UnsupportedInput("document types and entities aren't accepted")
+        body = ElementTree.fromstring(xml).find(f"{_W}body")
     items: list[dict] = []
     seen: set[str] = set()
     for position, block in enumerate(body if body is not None else [], 1):
@@ -93,6 +111,8 @@ def docx_flow(files: DataFrame, key: str = "path", content: str = "content") ->
             rows = []
             for k, raw in zip(batch[key], batch[content], strict=True):
                 try:
+                    if raw is None:
+                        raise UnsupportedInput("no content")
                     rows += [{key: k, "ord": i, **base, **item} for i, item in enumerate(docx_items(bytes(raw)))]
                 except (UnsupportedInput, zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
                     rows.append({key: k, "ord": 0, "kind": "error", **base, "error": str(e) or type(e).__name__})
@@ -109,15 +129,32 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     raise UnsupportedInput("reading PDF files needs a PDF library; start from tables of characters, words or blocks")
 
 
-def ocr_route(pages: DataFrame, engine: object = None) -> tuple[DataFrame, DataFrame]:
-    """(pages to keep, pages to read again): those short of text or with bad glyphs, if there is an engine.
+def ocr_route(pages: DataFrame, read_again: DataFrame | None, document: str = "doc_id") -> DataFrame:
+    """`pages` with the text of those that are short of text or have bad glyphs replaced by what an engine read.
 
-    `pages` has char_count, bad_glyph_ratio, width and height. Without an engine all are kept.
+    `pages` has page_number, char_count, bad_glyph_ratio, width, height and text; `read_again` (the
+    engine's document, page_number, text) is None without an engine. Adds ocr: null for pages that
+    need none, else 'replaced', 'skipped' (no engine) or 'failed' (no text read); text is only
+    replaced in the first case. Tables aren't touched.
     """
     from ..functions.predicates import needs_ocr
 
     poor = needs_ocr(F.col("char_count"), F.col("bad_glyph_ratio"), F.col("width"), F.col("height"))
-    return (pages, pages.limit(0)) if engine is None else (pages.filter(~poor), pages.filter(poor))
+    if read_again is None:
+        return pages.withColumn("ocr", F.when(poor, "skipped"))
+    found = read_again.select(document, "page_number", F.col("text").alias("read_text"))
+    rows = pages.join(found, [document, "page_number"], "left")
+    good = F.coalesce(F.col("read_text"), F.lit("")) != ""
+    return rows.withColumn("ocr", F.when(poor & good, "replaced").when(poor, "failed")).withColumn("text", F.when(poor & good, F.col("read_text")).otherwise(F.col("text"))).drop("read_text")
+
+
+def without_scans(images: DataFrame, routed: DataFrame, document: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(images that stay, ledger rows of scans): on replaced pages, images over 85 % of the page or more go."""
+    on = routed.filter("ocr = 'replaced'").select(document, "page_number", F.col("width").alias("page_width"), F.col("height").alias("page_height"))
+    share = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("page_width") * F.col("page_height"))
+    marked = images.join(on, [document, "page_number"], "left").withColumn("is_scan", F.coalesce(share >= SCAN_SHARE, F.lit(False))).drop("page_width", "page_height")
+    gone = marked.filter("is_scan").select(document, "page_number", F.lit("ocr_replaced_scan").alias("reason"), "x0", "y0", "x1", "y1", F.lit("").alias("text"))
+    return marked.filter("not is_scan").drop("is_scan"), gone
 
 
 def large_images(images: DataFrame) -> DataFrame:

@@ -12,20 +12,20 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import archive_entry_fits, archive_path
 from ..functions.text import escaped
+from .office import MOST_ENTRY, MOST_RATIO
 
 STORED, TYPE = (".png", ".jpg", ".jpeg"), "application/epub+zip"
 CSS = "body{margin:5%;line-height:1.45}p{margin:0;text-indent:1.2em}h1,h2{text-align:center}figure{margin:1em 0;text-align:center}img{max-width:100%}.verse{text-indent:0;margin:1em 2em}"
 CONTAINER = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="EPUB/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
 
 
-def package_rows(chapters: DataFrame, documents: DataFrame, document: str = "doc_id") -> DataFrame:
+def package_rows(documents: DataFrame, document: str = "doc_id") -> DataFrame:
     """document, name, media_type, content: every entry of each package.
 
-    `chapters` has chapter_no, title and content (XHTML); `documents` has title, language, identifier.
+    `documents` has title, language, identifier and chapters: an array of chapter_no, title and
+    content (XHTML) in order. All entries come from that one row.
     """
-    numbered = chapters.withColumn("file", F.concat(F.lit("text/chapter_"), F.col("chapter_no").cast("string"), F.lit(".xhtml")))
-    texts = numbered.select(document, F.concat(F.lit("EPUB/"), F.col("file")).alias("name"), F.lit("application/xhtml+xml").alias("media_type"), "content")
-    listed = numbered.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("chapter_no", "file", "title"))).alias("files")).join(documents, document)
+    listed = documents.withColumn("files", F.transform("chapters", lambda c: F.struct(c["chapter_no"].alias("chapter_no"), F.concat(F.lit("text/chapter_"), c["chapter_no"].cast("string"), F.lit(".xhtml")).alias("file"), c["title"].alias("title"), c["content"].alias("content"))))
 
     def each(make: object) -> Column:
         return F.array_join(F.transform("files", make), "")
@@ -39,8 +39,10 @@ def package_rows(chapters: DataFrame, documents: DataFrame, document: str = "doc
         each(lambda f: F.concat(F.lit('<item id="c'), number(f), F.lit('" href="'), f["file"], F.lit('" media-type="application/xhtml+xml"/>'))), F.lit('</manifest><spine toc="ncx">'), each(lambda f: F.concat(F.lit('<itemref idref="c'), number(f), F.lit('"/>'))), F.lit("</spine></package>"),
     )
     fixed = [("mimetype", TYPE, F.lit(TYPE)), ("META-INF/container.xml", "application/xml", F.lit(CONTAINER)), ("EPUB/style.css", "text/css", F.lit(CSS)), ("EPUB/nav.xhtml", "application/xhtml+xml", nav), ("EPUB/toc.ncx", "application/x-dtbncx+xml", ncx), ("EPUB/package.opf", "application/oebps-package+xml", opf)]
-    entries = listed.select(document, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(m).alias("media_type"), c.alias("content")) for n, m, c in fixed])).alias("e")).select(document, "e.*")
-    return entries.unionByName(texts).withColumn("content", F.col("content").cast("binary"))
+    entry = lambda name, media, content: F.struct(name.alias("name"), media.alias("media_type"), content.alias("content"))
+    texts = F.transform("files", lambda f: entry(F.concat(F.lit("EPUB/"), f["file"]), F.lit("application/xhtml+xml"), f["content"]))
+    every = F.concat(F.array(*[entry(F.lit(n), F.lit(m), c) for n, m, c in fixed]), texts)
+    return listed.select(document, F.explode(every).alias("e")).select(document, "e.name", "e.media_type", F.col("e.content").cast("binary").alias("content"))
 
 
 def archive(entries: list[tuple[str, bytes]], when: tuple[int, int, int, int, int, int] = (1980, 1, 1, 0, 0, 0)) -> bytes:
@@ -56,12 +58,18 @@ def archive(entries: list[tuple[str, bytes]], when: tuple[int, int, int, int, in
 
 def archives(rows: DataFrame, document: str = "doc_id") -> DataFrame:
     """document, package (bytes), error: entries with bad names or sizes make no package."""
-    checked = rows.withColumn("bad", ~archive_path(F.col("name")) | ~archive_entry_fits(F.length("content"), F.length("content")))
+    checked = rows.withColumn("bad", ~archive_path(F.col("name")))
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
         key, bad = group[document].iloc[0], group.loc[group["bad"], "name"].tolist()
-        made = None if bad else archive([(n, bytes(c)) for n, c in zip(group["name"], group["content"], strict=True)])
-        return pd.DataFrame({document: [key], "package": [made], "error": [f"unsafe entry: {bad[0]}" if bad else None]})
+        made, error = None, f"unsafe entry: {bad[0]}" if bad else None
+        if not bad:
+            made = archive([(n, bytes(c)) for n, c in zip(group["name"], group["content"], strict=True)])
+            with zipfile.ZipFile(io.BytesIO(made)) as z:  # sizes as packed
+                tight = [i.filename for i in z.infolist() if i.file_size > MOST_ENTRY or (i.compress_type != zipfile.ZIP_STORED and i.file_size > 1024 and i.file_size > MOST_RATIO * max(1, i.compress_size))]
+            if tight:
+                made, error = None, f"entry too large: {sorted(tight)[0]}"
+        return pd.DataFrame({document: [key], "package": [made], "error": [error]})
 
     return checked.select(document, "name", "content", "bad").groupBy(document).applyInPandas(each, f"`{document}` {rows.schema[document].dataType.simpleString()}, package binary, error string")
 
