@@ -73,6 +73,21 @@ expected AS (SELECT source, token, given.n - coalesce(dropped.n, 0) AS n FROM gi
 sides AS (SELECT source, token, coalesce(expected.n, 0) AS e, coalesce(made.n, 0) AS p FROM expected FULL JOIN made USING (source, token)),
 found AS (SELECT source, CAST(sum(e) AS BIGINT) AS reference_tokens, CAST(sum(least(e, p)) AS BIGINT) AS overlap_tokens FROM sides GROUP BY source)"""
 
+_COLLAPSED = strip(f"regexp_replace(text, '{S}+', ' ', 'g')")
+#: Documents of one page and conversations with a page for each turn, as judged lines.
+FLOW = f"""base AS (SELECT 'd' || doc_id AS doc_id, 1 AS page_number, text FROM documents UNION ALL SELECT 'c' || conv_id, CAST(turn + 1 AS INTEGER), text FROM conversations),
+split AS (SELECT doc_id, page_number, list_filter(list_transform(regexp_split_to_array(text, '{ENDS}'), lambda x: {strip("x")}), lambda x: x <> '') AS l FROM base),
+numbered AS (SELECT doc_id, page_number, l, unnest(range(len(l))) AS i FROM split),
+raw AS (SELECT doc_id, page_number, i AS block_index, l[i + 1] AS text, least(792.0, i * (CAST(792.0 AS DOUBLE) / len(l))) AS y0,
+  least(792.0, least(792.0, i * (CAST(792.0 AS DOUBLE) / len(l))) + CAST(792.0 AS DOUBLE) / len(l)) AS y1 FROM numbered),
+lines AS (SELECT * FROM (SELECT doc_id, page_number, block_index, {_COLLAPSED} AS text, y0, y1 FROM raw) WHERE text <> ''),
+extent AS (SELECT doc_id, count(DISTINCT page_number) AS k FROM lines GROUP BY doc_id),
+often AS (SELECT doc_id, text, count(DISTINCT page_number) AS n FROM lines WHERE y1 <= 792 * CAST(0.05 AS DOUBLE) OR y0 >= 792 * (1 - CAST(0.05 AS DOUBLE)) GROUP BY ALL),
+repeated AS (SELECT doc_id, text FROM often JOIN extent USING (doc_id) WHERE n >= greatest(2, ceil(CAST(0.3 AS DOUBLE) * k))),
+marked AS (SELECT lines.*, repeated.text IS NOT NULL AS again, regexp_matches(lines.text, '(?i)^\\s*([0-9]+|[ivxlcdm]+)\\s*$') AS number, {dense("lines.text")} AS d FROM lines LEFT JOIN repeated ON repeated.doc_id = lines.doc_id AND repeated.text = lines.text)"""
+
+_QUOTES = "[\"''”’]+$"
+_UNQUOTED = strip(f"regexp_replace({strip('ahead')}, '{_QUOTES}', '')")
 _END = rf"({N}|$)"
 _NUM = "[0-9ivxlcdm]+"
 CHAPTER = "|".join(
@@ -151,6 +166,23 @@ ORACLE_SQL: dict[str, str] = {
     "archive_path_check": rf"""WITH {values("paths")} SELECT id, path, trim(path) <> '' AND NOT regexp_matches(path, '^[/\\]') AND NOT regexp_matches(path, '^[A-Za-z]:') AND NOT list_contains(string_split(replace(path, '\', '/'), '/'), '..') AS is_safe FROM paths""",
     "redacted_paths": rf"""WITH {values("logs")} SELECT id, regexp_replace(regexp_replace(text, '[a-zA-Z]:[\\/](?:Users|Documents and Settings|home)[\\/][^\\/]+[\\/]', '<sanitized_path>/', 'g'), '/(?:Users|home)/[^/]+/', '<sanitized_path>/', 'g') AS text FROM logs""",
     "image_dedup": f"""WITH {values("images")}, k AS (SELECT chapter, ord, sha256(content) AS image_key, row_number() OVER (PARTITION BY chapter, sha256(content) ORDER BY ord) AS r FROM images) SELECT chapter, ord, image_key FROM k WHERE r = 1""",
+    "page_flow_drops": f"""WITH {FLOW},
+      toc AS (SELECT doc_id, page_number FROM (SELECT doc_id, page_number, count(*) AS n, sum(CAST(starts_with(lower(text), 'contents') OR regexp_matches(text, '\\.\\.+\\s*[0-9]+\\s*$') OR regexp_matches(text, '(?i){CHAPTER}') AS INTEGER)) AS e,
+        bool_or(contains(lower(text), 'contents')) AS c, sum(len(regexp_extract_all(lower(text), '\\b(chapter|part|appendix)\\b'))) AS k FROM marked WHERE NOT again AND NOT number GROUP BY ALL) WHERE (c AND k >= 3) OR (n >= 6 AND e >= CAST(0.4 AS DOUBLE) * n)),
+      rights AS (SELECT doc_id, page_number FROM (SELECT doc_id, page_number, lower(string_agg(text, ' ' ORDER BY block_index)) AS a FROM marked WHERE page_number <= 12 GROUP BY ALL) WHERE contains(a, 'all rights reserved') AND (contains(a, '©') OR contains(a, 'copyright'))),
+      judged AS (SELECT marked.*, toc.doc_id IS NOT NULL AS is_toc, CASE WHEN again THEN 'running_header_footer' WHEN {ARTIFACT} THEN 'margin_artifact' WHEN number THEN 'page_number' WHEN {NOISE.replace("{ocr}", "")} THEN 'noise_text' END AS why
+        FROM marked LEFT JOIN toc USING (doc_id, page_number) LEFT JOIN rights ON rights.doc_id = marked.doc_id AND rights.page_number = marked.page_number WHERE rights.doc_id IS NULL OR toc.doc_id IS NOT NULL),
+      gone AS (SELECT doc_id, 'table_of_contents' AS reason, 1 AS n, sum(len({words("text")})) AS w FROM judged WHERE is_toc GROUP BY doc_id, page_number UNION ALL SELECT doc_id, why, 1, len({words("text")}) FROM judged WHERE NOT is_toc AND why IS NOT NULL)
+      SELECT doc_id, reason, CAST(sum(n) AS BIGINT) AS n, CAST(sum(w) AS BIGINT) AS word_count FROM gone GROUP BY ALL""",
+    "page_continuation": rf"""WITH split AS (SELECT conv_id, CAST(turn + 1 AS INTEGER) AS page_number, list_filter(list_transform(regexp_split_to_array(text, '{ENDS}'), lambda x: {strip("x")}), lambda x: x <> '') AS l FROM conversations),
+      numbered AS (SELECT conv_id, page_number, l, unnest(range(len(l))) AS block_index FROM split), lines AS (SELECT conv_id, page_number, block_index, l[block_index + 1] AS text FROM numbered),
+      {paragraphs("lines", "conv_id, page_number", "block_index")},
+      seen AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY page_number, paragraph) AS ahead FROM paras),
+      held AS (SELECT *, coalesce(text <> '' AND NOT regexp_matches({_UNQUOTED}, '[.!?:]$'), false) AS open FROM seen),
+      run AS (SELECT *, bool_and(open) OVER (PARTITION BY conv_id, page_number ORDER BY paragraph ROWS UNBOUNDED PRECEDING) AS goes FROM held),
+      led AS (SELECT *, sum(CAST(NOT goes AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY page_number, paragraph ROWS UNBOUNDED PRECEDING) AS head, coalesce(lead(goes) OVER (PARTITION BY conv_id ORDER BY page_number, paragraph), false) AS next FROM run)
+      SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY head) - 1 AS INTEGER) AS place, min(page_number) AS page_number,
+        string_agg(CASE WHEN next THEN regexp_replace(text, '-$', '') || CASE WHEN regexp_matches(text, '-$') THEN '' ELSE ' ' END ELSE text END, '' ORDER BY page_number, paragraph) AS text FROM led GROUP BY conv_id, head""",
     "cover_classes": f"""WITH {values("visuals")}, m AS (SELECT *, greatest(image_ratio, vector_ratio) AS g, 1 - nonwhite_ratio AS s FROM visuals),
       c AS (SELECT *, (g >= CAST(0.7 AS DOUBLE) OR nonwhite_ratio > CAST(0.85 AS DOUBLE)) AND word_count <= 35 AS cover, s >= CAST(0.7 AS DOUBLE) AND g <= CAST(0.15 AS DOUBLE) AND word_count BETWEEN 1 AND 90 AND block_count >= 2 AND word_count / block_count <= 14 AND vertical_span_ratio >= 0.25 AS title FROM m)
       SELECT doc_id, page_number, CASE WHEN cover THEN 'COVER_IMAGE' WHEN title THEN 'TITLE_PAGE' ELSE 'NONE' END AS kind, coalesce(round(least(CASE
@@ -158,3 +190,6 @@ ORACLE_SQL: dict[str, str] = {
         WHEN title THEN CAST(0.55 AS DOUBLE) + CAST(0.2 AS DOUBLE) * least(1.0, (s - CAST(0.7 AS DOUBLE)) / (1 - CAST(0.7 AS DOUBLE))) + CASE WHEN vertical_span_ratio >= CAST(0.4 AS DOUBLE) THEN CAST(0.15 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END + CASE WHEN block_count >= 3 THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
         END, CAST(0.99 AS DOUBLE)), 3), 0) AS confidence FROM c""",
 }
+ORACLE_SQL["cover_pages"] = f"""WITH classes AS ({ORACLE_SQL["cover_classes"]}), early AS (SELECT * FROM classes WHERE page_number <= 3),
+  covers AS (SELECT doc_id, min(page_number) FILTER (kind = 'COVER_IMAGE') AS cover_page FROM early GROUP BY doc_id)
+  SELECT doc_id, coalesce(any_value(cover_page), 0) AS cover_page, coalesce(min(page_number) FILTER (kind = 'TITLE_PAGE' AND (cover_page IS NULL OR page_number > cover_page)), 0) AS title_page FROM early JOIN covers USING (doc_id) GROUP BY doc_id"""

@@ -204,7 +204,7 @@ def cover_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cover_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chapters.cover_pages(literal(spark, "visuals"))
+    return chapters.cover_pages(literal(spark, "visuals")).fillna(0)  # 0: none
 
 
 @query
