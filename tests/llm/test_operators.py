@@ -249,6 +249,29 @@ def test_many_near_copies_of_one_text(spark):
     assert {got[k] for k in near} == {min(near)}
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """Components against all pairs that share a shingle."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(table).collect()}
+    sets = {r.doc_id: shingle_set(r.text) for r in table.collect()}
+    root, holders, links = {k: k for k in sets}, defaultdict(list), 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k in sorted(sets):
+        for other, both in Counter(o for x in sets[k] for o in holders[x]).items():
+            if 100 * both >= 75 * (len(sets[k]) + len(sets[other]) - both):
+                links += 1
+                x, y = find(k), find(other)
+                root[max(x, y)] = min(x, y)
+        for x in sets[k]:
+            holders[x].append(k)
+    assert links > 100 and got == {k: find(k) for k in sets}
+
+
 def test_components(spark):
     draw = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in draw.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 240)]

@@ -19,6 +19,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 4 << 20
 #: Keys of over one HOT-th of all rows are dealt over several tasks, from HOT_LEAST rows on.
 HOT, HOT_LEAST = 20_000, 256
+#: Tables of keys of up to so many rows are broadcast to find their rows in place; larger ones are joined.
+FEW_KEYS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +82,11 @@ def spread_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inn
     return dealt.join(copies, [*on, "hot_part"], how).drop("hot_part")
 
 
+def only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The `rows` whose `on` is in `keys`, a table; where those are few, the other rows stay where they are."""
+    return rows.join(F.broadcast(keys.select(on)) if keys.count() <= FEW_KEYS else keys.select(on), on, "left_semi")
+
+
 def word_count(text: Column) -> Column:
     """How many words a text has; 0 for null."""
     marks = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "w")

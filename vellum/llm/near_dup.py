@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices, spread_join
+from .common import cut_lineage, only, slices, spread_join
 from .components import components
 from .shingles import U64, mix, shingle_sets
 
@@ -47,8 +47,8 @@ SAMPLES, BANDED, BANDS, SKETCH_BITS = 512, 128, 32, 4096
 THRESHOLD = 75
 #: Ones in the XOR of two sketches at an estimated similarity of 0.655.
 MOST_ONES = 324
-#: Members of a bucket that one block of comparisons holds, and elements of their sets; followers of a leader in one group.
-HELD, HELD_ELEMENTS, GROUP = 1000, 2_000_000, 500
+#: Members of a bucket that one block of comparisons holds (and meets), and elements of their sets; followers of a leader in one group.
+HELD, HELD_ELEMENTS, GROUP = 500, 2_000_000, 500
 _random = np.random.default_rng(20240102)
 _FACTOR = _random.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MASK = _random.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -126,7 +126,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = spread_join(pairs, salts, ["low"]).select("low", F.pmod(F.xxhash64("high"), F.col("salts")).cast("int").alias("salt"), F.col("high").alias("doc_id"))
     leaders = salts.select("low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("low").alias("doc_id"))
     wanted = cut_lineage(dealt.unionByName(leaders))
-    grouped = spread_join(wanted, texts, ["doc_id"]).repartition("low", "salt").sortWithinPartitions("low", "salt", F.col("doc_id") != F.col("low"))
+    ids = cut_lineage(wanted.select("doc_id").distinct())
+    grouped = spread_join(wanted, only(texts, ids, "doc_id"), ["doc_id"]).repartition("low", "salt").sortWithinPartitions("low", "salt", F.col("doc_id") != F.col("low"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, heads = None, []
@@ -233,29 +234,34 @@ def open_links(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: D
     blocks = F.greatest(F.ceil(F.col("members") / HELD), F.ceil(F.col("elements") / HELD_ELEMENTS)).cast("int")
     rows = cut_lineage(rows.select("key", "doc_id", "root"))
     rows = cut_lineage(spread_join(rows, several.filter("least < most").select("key", "main", blocks.alias("blocks")), ["key"]))
-    sets = cut_lineage(set_rows(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")))
-    kept = ["key", "block", "probe", "doc_id", "root"]
-    bases = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False)).select(*kept)
-    probes = rows.filter("root != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True)).select(*kept)
-    whole = bases.unionByName(probes).join(classes.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id").join(sets, "doc_id")
-    grouped = whole.repartition("key", "block").sortWithinPartitions("key", "block", "probe")
+    ids = cut_lineage(rows.select("doc_id").distinct())
+    sets = cut_lineage(set_rows(only(texts, ids, "doc_id")))
+    # each block of members meets each slot of those outside the leader's component: groups of bounded size
+    kept = ["key", "block", "slot", "probe", "doc_id", "root"]
+    own = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    bases = rows.withColumn("block", own(1)).withColumn("slot", every).withColumn("probe", F.lit(False)).select(*kept)
+    probes = rows.filter("root != main").withColumn("slot", own(2)).withColumn("block", every).withColumn("probe", F.lit(True)).select(*kept)
+    whole = cut_lineage(bases.unionByName(probes).join(probes.select("key", "slot").distinct(), ["key", "slot"], "left_semi"))
+    whole = spread_join(whole, classes.select("doc_id", "n_shingles", "sketch", "bands").join(sets, "doc_id"), ["doc_id"])
+    grouped = whole.repartition("key", "block", "slot").sortWithinPartitions("key", "block", "slot", "probe")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, block = None, [], None
         for batch in batches:
             found: list[tuple[int, int]] = []
-            keys, blocks, probe = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "probe"))
+            keys, blocks, slots, probe = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "slot", "probe"))
             values = [batch.column(c).to_numpy() for c in ("doc_id", "root", "n_shingles")]
             values.append(batch.column("sketch").flatten().to_numpy().view(U64).reshape(-1, SKETCH_BITS // 64))
             values.append(batch.column("bands").flatten().to_numpy().reshape(-1, BANDS))
             ends = np.cumsum(batch.column("set").value_lengths().to_numpy())
             values.append(np.split(batch.column("set").flatten().to_numpy().view(U64), ends[:-1]))
-            change = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]) | (probe[1:] != probe[:-1])) + 1
+            change = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]) | (slots[1:] != slots[:-1]) | (probe[1:] != probe[:-1])) + 1
             for a, b in zip([0, *change.tolist()], [*change.tolist(), len(keys)], strict=True):
                 if a == b:
                     continue
-                if group != (keys[a], blocks[a]):
-                    group, held, block = (keys[a], blocks[a]), [], None
+                if group != (keys[a], blocks[a], slots[a]):
+                    group, held, block = (keys[a], blocks[a], slots[a]), [], None
                 part = [v[a:b] for v in values]
                 if not probe[a]:
                     held.append(part)
@@ -264,7 +270,7 @@ def open_links(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: D
                     found.extend(block.links(keys[a], part))
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.int64()) for n in (0, 1)], ["a", "b"])
 
-    return grouped.select("key", "block", "probe", "doc_id", "root", "n_shingles", "sketch", "bands", "set").mapInArrow(compare, "a long, b long")
+    return grouped.select("key", "block", "slot", "probe", "doc_id", "root", "n_shingles", "sketch", "bands", "set").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -279,7 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     density = shared.groupBy("doc_id").agg(F.sum("members").alias("density"))
     leaders = shared.join(density, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("density", -F.col("doc_id"))).alias("leader"))
     shared = cut_lineage(spread_join(shared.select("doc_id", "n_shingles", "key"), leaders, ["key"], counts=sizes))
-    texts = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     # sketches travel only for pairs that may still join components: first each document with the leader that it meets in most buckets
     led = cut_lineage(shared.filter("doc_id != leader").groupBy(F.col("doc_id").alias("high"), F.col("leader").alias("low")).agg(F.count(F.lit(1)).alias("met")))

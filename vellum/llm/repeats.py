@@ -35,12 +35,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, drop_tables, slices, spread_join
+from .common import cut_lineage, drop_tables, only, slices, spread_join
 from .shingles import U64, hash_words, mix, powers, raw_bytes, word_places
 
 RUN, WINDOW, REACH, PASSAGE = 8, 23, 32, 50
-#: Lists of ids up to so many are broadcast to find their texts in place; longer ones are joined by key.
-FEW_IDS = 500_000
 _ALONE = "฀-໿က-႟ក-៿⺀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"  # scripts without spaces
 _WORD = re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
 #: What plain byte work would cut otherwise: such scripts, and white space past the six ASCII characters.
@@ -211,7 +209,7 @@ def _look(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """A table of SEEN for each (doc_id, mark, w0, key, first) of `asked`."""
     at = F.struct("doc_id", "mark").alias("at")
     wanted = cut_lineage(asked.groupBy(at).agg(F.sort_array(F.collect_set(F.struct("w0", "key", "first"))).alias("asks")))
-    joined = _asked(texts.select(at, "text"), wanted).groupBy("at").agg(F.first("text").alias("text")).join(wanted, "at").select("at.doc_id", "at.mark", "text", "asks")
+    joined = only(texts.select(at, "text"), wanted, "at").groupBy("at").agg(F.first("text").alias("text")).join(wanted, "at").select("at.doc_id", "at.mark", "text", "asks")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = powers(_STEP2, RUN)
@@ -326,12 +324,6 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[in
     return "".join(text[a:b] for a, b in kept), kept
 
 
-def _asked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`rows` whose `at` is in the table `wanted`; where those are few, the others stay where they are."""
-    few = wanted.count() <= FEW_IDS
-    return rows.join(F.broadcast(wanted.select("at")), "at", "left_semi") if few else rows
-
-
 def _cut(rows: DataFrame, passages: DataFrame, how: str) -> DataFrame:
     """`rows` (kept, text, at) with the units of passages (at, gone) cut out of text, kept_spans and gone; white space between units stays."""
     span = "struct<start:int,end:int,words:int,kept_doc_id:long,kept_start:int,units:array<struct<start:int,end:int>>>"
@@ -372,6 +364,6 @@ def drop_repeats(docs: DataFrame, least_words: int = 1) -> DataFrame:
 def shortened(docs: DataFrame, least_words: int = PASSAGE) -> DataFrame:
     """Every document that loses text: doc_id, cleaned (what stays), kept_spans, and gone, the passages cut out."""
     passages = _by_text(docs, least_words)
-    out = _cut(_asked(_keyed(docs, ["doc_id"]), passages), passages, "inner")
+    out = _cut(only(_keyed(docs, ["doc_id"]), passages, "at"), passages, "inner")
     gone = F.transform("gone", lambda g: g.dropFields("units"))
     return out.select(F.col("kept.doc_id").cast("long").alias("doc_id"), F.col("text").alias("cleaned"), "kept_spans", gone.alias("gone"))
