@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -16,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The six characters between words.
 SPACES = " \t\n\x0b\x0c\r"
 #: Arrow batches are worked through in slices of about so many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Keys of over one HOT-th of all rows are dealt over several tasks, from HOT_LEAST rows on.
 HOT, HOT_LEAST = 20_000, 256
 #: Tables of keys of up to so many rows are broadcast to find their rows in place; larger ones are joined.
@@ -93,6 +94,18 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(marks, SPACES, "")).cast("long")
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work` for mapInArrow that gives its memory back when a task ends, as workers wait for the next one with what they hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most SLICE_BYTES of text each (or a single longer row)."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

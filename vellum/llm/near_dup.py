@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, only, slices, spread_join
+from .common import cut_lineage, only, slices, spread_join, tidy
 from .components import components
 from .shingles import U64, mix, shingle_sets
 
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "set_sum", "set_mix", "bands", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(sign), SIGNED)
 
 
 def ones(a: Column, b: Column) -> Column:
@@ -143,7 +143,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     links.append((doc_id, low))
             yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return grouped.select("low", "salt", "doc_id", "text").mapInArrow(compare, "a long, b long")
+    return grouped.select("low", "salt", "doc_id", "text").mapInArrow(tidy(compare), "a long, b long")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -178,7 +178,7 @@ def set_rows(texts: DataFrame) -> DataFrame:
             values = pa.array(np.concatenate([*sets, np.zeros(0, U64)]).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "set"])
 
-    return texts.select("doc_id", "text").mapInArrow(each, "doc_id long, set array<long>")
+    return texts.select("doc_id", "text").mapInArrow(tidy(each), "doc_id long, set array<long>")
 
 
 class Block:
@@ -242,7 +242,7 @@ def open_links(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: D
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     bases = rows.withColumn("block", own(1)).withColumn("slot", every).withColumn("probe", F.lit(False)).select(*kept)
     probes = rows.filter("root != main").withColumn("slot", own(2)).withColumn("block", every).withColumn("probe", F.lit(True)).select(*kept)
-    whole = cut_lineage(bases.unionByName(probes).join(probes.select("key", "slot").distinct(), ["key", "slot"], "left_semi"))
+    whole = cut_lineage(bases.unionByName(probes))
     whole = spread_join(whole, classes.select("doc_id", "n_shingles", "sketch", "bands").join(sets, "doc_id"), ["doc_id"])
     grouped = whole.repartition("key", "block", "slot").sortWithinPartitions("key", "block", "slot", "probe")
 
@@ -270,7 +270,7 @@ def open_links(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: D
                     found.extend(block.links(keys[a], part))
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.int64()) for n in (0, 1)], ["a", "b"])
 
-    return grouped.select("key", "block", "slot", "probe", "doc_id", "root", "n_shingles", "sketch", "bands", "set").mapInArrow(compare, "a long, b long")
+    return grouped.select("key", "block", "slot", "probe", "doc_id", "root", "n_shingles", "sketch", "bands", "set").mapInArrow(tidy(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, drop_tables, only, slices, spread_join
+from .common import cut_lineage, drop_tables, only, slices, spread_join, tidy
 from .shingles import U64, hash_words, mix, powers, raw_bytes, word_places
 
 RUN, WINDOW, REACH, PASSAGE = 8, 23, 32, 50
@@ -165,7 +165,7 @@ def _units(texts: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in LINES.split(", ")] + ["line"])
 
-    return cut_lineage(texts.mapInArrow(each, f"{LINES}, line boolean"))
+    return cut_lineage(texts.mapInArrow(tidy(each), f"{LINES}, line boolean"))
 
 
 def _place() -> Column:
@@ -229,7 +229,7 @@ def _look(texts: DataFrame, asked: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), _SEEN, strict=True)], [n for n, _ in _SEEN])
 
-    seen = cut_lineage(joined.mapInArrow(each, SEEN))
+    seen = cut_lineage(joined.mapInArrow(tidy(each), SEEN))
     drop_tables(wanted)
     return seen
 
@@ -266,7 +266,7 @@ def _lengthened(texts: DataFrame, runs: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * len(_GONE)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n.endswith(("doc_id", "mark")) else pa.int32()) for c, n in zip(columns, _GONE, strict=True)], _GONE)
 
-    longer = cut_lineage(pairs.mapInArrow(each, GONE))
+    longer = cut_lineage(pairs.mapInArrow(tidy(each), GONE))
     drop_tables(seen)
     return longer
 
@@ -337,7 +337,7 @@ def _cut(rows: DataFrame, passages: DataFrame, how: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array([t for t, _ in pairs], pa.string()), spans, gone], ["kept", "text", "kept_spans", "gone"])
 
     joined = rows.join(passages, "at", how).select("kept", "text", "gone")
-    return joined.mapInArrow(cut, f"kept {rows.schema['kept'].dataType.simpleString()}, text string, kept_spans array<struct<start:long,end:long>>, gone array<{span}>")
+    return joined.mapInArrow(tidy(cut), f"kept {rows.schema['kept'].dataType.simpleString()}, text string, kept_spans array<struct<start:long,end:long>>, gone array<{span}>")
 
 
 def _keyed(docs: DataFrame, others: list[str]) -> DataFrame:

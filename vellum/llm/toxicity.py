@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 from .shingles import U64, hash_words, mix, word_places
 
 POSITIVES, NEGATIVES, MOST_CHARS = 1200, 2400, 12_000
@@ -341,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Network | float:
         model = train([r[1] for r in rows], toxic) if len(set(toxic)) > 1 else sum(toxic) / max(1, len(toxic))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    learned = training_rows(docs, labels, **bounds).coalesce(1).mapInArrow(learn, "model binary").first()
+    learned = training_rows(docs, labels, **bounds).coalesce(1).mapInArrow(tidy(learn), "model binary").first()
     return pickle.loads(learned.model) if learned else 0.0
 
 
@@ -360,7 +360,7 @@ def keep_clean(docs: DataFrame, model: Network | float, threshold: float = 0.5)
         for part in (x for batch in batches for x in slices(batch, "text")):
             yield part.filter(pa.array(score_texts(sent.value, part.column("text")) < threshold))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(tidy(each), docs.schema)
 
 
 def scores(docs: DataFrame, model: Network | float) -> DataFrame:
@@ -372,7 +372,7 @@ def scores(docs: DataFrame, model: Network | float) -> DataFrame:
             found = score_texts(sent.value, part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, SCORED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(each), SCORED)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
