@@ -76,7 +76,10 @@ def spread_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inn
     """
     limit = max(HOT_LEAST, rows.count() // HOT)
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    hot = F.broadcast(counts.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("long").alias("hot_parts")))
+    found = counts.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("long").alias("hot_parts"))
+    if found.isEmpty():  # the same rows by a shorter plan
+        return rows.join(side, on, how)
+    hot = F.broadcast(found)
     # the row's number deals equal rows to different parts too
     dealt = rows.join(hot, on, "left").withColumn("hot_part", F.when(F.col("hot_parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("hot_parts")))).drop("hot_parts")
     copies = side.join(hot, on, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("hot_parts", F.lit(1)) - 1))).drop("hot_parts")

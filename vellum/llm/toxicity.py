@@ -139,6 +139,20 @@ class Network:
         for way in "fb":
             self.w |= {f"in_{way}": some(2 * EACH, g, scale=0.3), f"back_{way}": some(HIDDEN, g, scale=0.3), f"gate_{way}": np.zeros(g, np.float32)}
 
+    def __getstate__(self) -> dict:
+        """Of the tables of vectors only what is known is sent."""
+        rows = {name: np.flatnonzero(known) for name, known in self.known.items()}
+        return {"rows": rows, "w": {k: v[rows[k]] if k in rows else v for k, v in self.w.items()}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.known, self.w = {}, dict(state["w"])
+        for name, size in (("word", WORDS), ("piece", PIECES)):
+            rows = state["rows"][name]
+            self.known[name] = np.zeros(size, bool)
+            self.known[name][rows] = True
+            self.w[name] = np.zeros((size, EACH), np.float32)
+            self.w[name][rows] = state["w"][name]
+
     def forget(self, words: Words, docs: int) -> None:
         """Takes the vectors of what occurs in fewer than SEEN documents away: it could only be learned by heart."""
         word, piece = np.zeros(WORDS, np.int32), np.zeros(PIECES, np.int32)
