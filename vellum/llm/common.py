@@ -72,13 +72,15 @@ def spread_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inn
     Keys of more than a HOT-th part of all rows (HOT_LEAST at least) are found by partial sums; there
     are fewer than HOT of them, so their list is broadcast. Their rows are dealt over as many parts
     as hold such a share each, and the side's row is repeated for every part. `rows` should be a
-    table, as it is read twice; `counts` (keys, n) saves counting again.
+    table, as it is read twice; `counts` (keys, n) of the rows, or of those whose keys `side` has,
+    saves counting them here.
     """
-    limit = max(HOT_LEAST, rows.count() // HOT)
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    found = counts.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("long").alias("hot_parts"))
-    if found.isEmpty():  # the same rows by a shorter plan
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HOT_LEAST, (total or 0) // HOT)
+    if (most or 0) <= limit:  # the same rows by a shorter plan
         return rows.join(side, on, how)
+    found = counts.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("long").alias("hot_parts"))
     hot = F.broadcast(found)
     # the row's number deals equal rows to different parts too
     dealt = rows.join(hot, on, "left").withColumn("hot_part", F.when(F.col("hot_parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("hot_parts")))).drop("hot_parts")

@@ -122,8 +122,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     Pairs are grouped by `low`, so that is best the one that many pairs share.
     """
-    salts = pairs.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
-    dealt = spread_join(pairs, salts, ["low"]).select("low", F.pmod(F.xxhash64("high"), F.col("salts")).cast("int").alias("salt"), F.col("high").alias("doc_id"))
+    followers = cut_lineage(pairs.groupBy("low").agg(F.count(F.lit(1)).alias("n")))
+    salts = followers.select("low", F.ceil(F.col("n") / GROUP).cast("int").alias("salts"))
+    dealt = spread_join(pairs, salts, ["low"], counts=followers).select("low", F.pmod(F.xxhash64("high"), F.col("salts")).cast("int").alias("salt"), F.col("high").alias("doc_id"))
     leaders = salts.select("low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("low").alias("doc_id"))
     wanted = cut_lineage(dealt.unionByName(leaders))
     ids = cut_lineage(wanted.select("doc_id").distinct())
@@ -231,9 +232,11 @@ def open_links(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: D
     rows = rooted(shared, roots, "doc_id").withColumnRenamed("doc_id_root", "root")
     main = F.max(F.when(F.col("doc_id") == F.col("leader"), F.col("root"))).alias("main")
     several = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), main, F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("elements"))
+    several = cut_lineage(several.filter("least < most"))
     blocks = F.greatest(F.ceil(F.col("members") / HELD), F.ceil(F.col("elements") / HELD_ELEMENTS)).cast("int")
     rows = cut_lineage(rows.select("key", "doc_id", "root"))
-    rows = cut_lineage(spread_join(rows, several.filter("least < most").select("key", "main", blocks.alias("blocks")), ["key"]))
+    sides = several.select("key", "main", blocks.alias("blocks"))
+    rows = cut_lineage(spread_join(rows, sides, ["key"], counts=several.select("key", F.col("members").alias("n"))))
     ids = cut_lineage(rows.select("doc_id").distinct())
     sets = cut_lineage(set_rows(only(texts, ids, "doc_id")))
     # each block of members meets each slot of those outside the leader's component: groups of bounded size
